@@ -29,7 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage, survives lost executors, and keeps costly columns from being computed again.
     """
     path = f"{shared_folder(df.sparkSession)}/siftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from siftline.llm import mixing, quality_rules, simhash
+from siftline.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
