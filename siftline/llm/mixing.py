@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
+#: So many sources at most are broadcast; more are joined by shuffle, where Spark splits skewed keys.
+BROADCAST_SOURCES = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -60,13 +62,19 @@ def draw(seed: str, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def _checked(shares: DataFrame) -> DataFrame:
+    """One row a source, stored; sent to all tasks only if counted to be few, so that no task gets a whole hot source."""
+    shares = materialize(shares, "mix-targets")
+    return F.broadcast(shares) if shares.count() <= BROADCAST_SOURCES else shares
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target, copies, by one pass over the texts for their
     sizes and draws and one join on the source."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), draw(seed, "doc_id", "text").alias("_draw"))
     sized = materialize(sized, "mix-sizes")
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    shares = shares.withColumnRenamed("source", "_source")
+    shares = _checked(shares.withColumnRenamed("source", "_source"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = sized.join(shares, sized["source"].eqNullSafe(shares["_source"])).withColumn("_rate", rate)
     copies = F.floor("_rate") + F.when(F.col("_draw") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
@@ -77,6 +85,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
     """The mix itself: rows of docs, each as often as its copies say, with a column copy (0, 1, ...)."""
     shares = targets(docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size")), weights, share, most)
     shares = shares.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
+    shares = _checked(shares)
     out = docs.join(shares, docs["source"].eqNullSafe(shares["_source"])).drop("_source")
     copies = F.floor("_rate") + F.when(draw(seed, "doc_id", "text") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
     out = out.withColumn("_copies", copies.cast("int")).filter("_copies > 0")

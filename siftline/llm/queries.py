@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from siftline.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, secrets, simhash, toxicity
+from siftline.llm import chat_format, decontaminate, language_id, mixing, quality_classifier, quality_rules, repeats, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op2_repeats": repeats.op2_repeats,
     "op3_language_id": language_id.op3_language_id,
     "op4_secrets": secrets.op4_secrets,
     "op5_decontaminate": decontaminate.op5_decontaminate,
