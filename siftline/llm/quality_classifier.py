@@ -89,9 +89,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_mod: int, held
     votes = labels.filter(F.col(label).isNotNull() & (crc32_mod("doc_id", held_mod) != held_rest))
     votes = votes.groupBy("doc_id").agg((F.avg(label) > 0.5).cast("int").alias("y"))
     counts = {int(r["y"]): int(r["count"]) for r in votes.groupBy("y").count().collect()}
-    texts = docs.filter(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
-    found = texts.join(votes, "doc_id").withColumn("_h", F.xxhash64("doc_id", "text"))
-    out = {y: [r["text"] for r in found.filter(F.col("y") == y).orderBy("_h", "doc_id").limit(sample).select("text").collect()] for y in (0, 1)}
+    usable = F.col("text").isNotNull() & (F.length("text") <= chars)
+    found = docs.filter(usable).select("doc_id").join(votes, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    ids = {y: [r["doc_id"] for r in found.filter(F.col("y") == y).select("doc_id", "_h").distinct().orderBy("_h", "doc_id").limit(sample).collect()] for y in (0, 1)}
+    # Only ids are shuffled and sorted; the texts of these few are read by a filter.
+    held = {r["doc_id"]: r["text"] for r in docs.filter(F.col("doc_id").isin(ids[0] + ids[1]) & usable).select("doc_id", "text").collect()}
+    out = {y: [held[i] for i in ids[y]] for y in (0, 1)}
     return out, counts
 
 
