@@ -182,7 +182,7 @@ def retry_after_ms(value, now) -> Column:
     seconds = F.when(v.rlike(r"^\d{1,9}$"), v.try_cast("bigint"))
     date = F.try_to_timestamp(F.regexp_replace(v, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = F.coalesce(seconds * 1000, F.unix_millis(date) - F.unix_millis(_c(now)))
-    return F.coalesce(F.least(F.greatest(wait, F.lit(1000)), F.lit(30_000)), F.lit(3000))
+    return F.when(wait.isNull(), 3000).otherwise(F.least(F.greatest(wait, F.lit(1000)), F.lit(30_000)))
 
 
 def robots_allowed(status, disallow, url) -> Column:

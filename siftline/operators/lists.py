@@ -37,7 +37,7 @@ def input_list(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (ord, site, input_name): the first of each site key with its URL, and one row with counts of invalid and repeated."""
     r = rows.withColumn("url", U.normalize_input("site")).withColumn("key", U.site_key(F.col("url")))
     first = r.filter("url IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("ord", "url", tidy_name(F.col("input_name")).alias("input_name")), "ord").alias("f"), F.count("*").alias("n"))
-    totals = r.agg(F.count_if("url IS NULL").alias("invalid"), (F.count("url") - F.countDistinct("key")).alias("duplicates"))
+    totals = r.agg(F.count_if(F.col("url").isNull()).alias("invalid"), (F.count("url") - F.countDistinct("key")).alias("duplicates"))
     return first.select("f.*", "key"), totals
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def list_summary(results: DataFrame) -> DataFrame:
     """results (error, n_emails, pages, reused): one row of counts."""
     return results.agg(
-        F.count("*").alias("sites"), F.count_if("n_emails > 0").alias("with_emails"), F.count_if("error IS NULL AND n_emails = 0").alias("without"),
-        F.count_if("error IS NOT NULL").alias("failed"), F.sum(F.coalesce("pages", F.lit(0))).alias("pages"), F.sum(F.coalesce("reused", F.lit(0))).alias("reused"),
+        F.count("*").alias("sites"), F.count_if(F.expr("n_emails > 0")).alias("with_emails"), F.count_if(F.expr("error IS NULL AND n_emails = 0")).alias("without"),
+        F.count_if(F.expr("error IS NOT NULL")).alias("failed"), F.sum(F.coalesce("pages", F.lit(0))).alias("pages"), F.sum(F.coalesce("reused", F.lit(0))).alias("reused"),
     )
 
 
