@@ -56,7 +56,7 @@ CHANCES = {
 }
 #: From role to role between rows and between lines of a row; the last row is the start of a conversation.
 BETWEEN_ROWS = ((0.10, 0.80, 0.09, 0.01), (0.02, 0.10, 0.83, 0.05), (0.01, 0.85, 0.10, 0.04), (0.01, 0.09, 0.85, 0.05), (0.30, 0.60, 0.08, 0.02))
-WITHIN_ROW = ((0.96, 0.02, 0.01, 0.01), (0.01, 0.96, 0.02, 0.01), (0.01, 0.02, 0.96, 0.01), (0.01, 0.01, 0.02, 0.96), (0.25, 0.25, 0.25, 0.25))
+WITHIN_ROW = ((0.88, 0.04, 0.04, 0.04), (0.04, 0.88, 0.04, 0.04), (0.04, 0.04, 0.88, 0.04), (0.04, 0.04, 0.04, 0.88), (0.25, 0.25, 0.25, 0.25))
 N, START, NEVER = len(ROLES) + 1, len(ROLES), -(1 << 50)
 
 

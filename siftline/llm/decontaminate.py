@@ -262,5 +262,5 @@ def op5_decontaminate(spark, sf_dir):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs without a benchmark window, all columns. A doc_id that occurs on more rows goes if one of them has one."""
-    hit = contamination(docs, benchmark, window, block_chars).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    hit = contamination(docs, benchmark, window, block_chars).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")

@@ -82,14 +82,15 @@ def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) -> DataFrame:
-    """The mix itself: rows of docs, each as often as its copies say, with a column copy (0, 1, ...)."""
-    shares = targets(docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size")), weights, share, most)
-    shares = shares.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
-    shares = _checked(shares)
-    out = docs.join(shares, docs["source"].eqNullSafe(shares["_source"])).drop("_source")
-    copies = F.floor("_rate") + F.when(draw(seed, "doc_id", "text") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    out = out.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_rate")
+    """The mix itself: rows of docs, each as often as its copies say, with a column copy (0, 1, ...) in place of any of that name."""
+    sizes = docs.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    shares = targets(sizes, weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    shares = _checked(shares.select(F.col("source").alias("__mix_source"), rate.alias("__mix_rate")))
+    out = docs.join(shares, F.col("source").eqNullSafe(F.col("__mix_source")))
+    copies = F.floor("__mix_rate") + F.when(draw(seed, "doc_id", "text") < F.col("__mix_rate") - F.floor("__mix_rate"), 1).otherwise(0)
+    out = out.withColumn("__mix_copies", copies.cast("int")).filter("__mix_copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1))).drop("__mix_copies", "__mix_rate", "__mix_source")
 
 
 def op10_mixing(spark, sf_dir):

@@ -76,8 +76,8 @@ def ownership(found: DataFrame) -> DataFrame:
     return own.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `keep` of docs and `spans`: array of (kind, low, high, value_low, hash, n_owners, live), by row.
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, keep: tuple[str, ...] = (), name: str = "spans") -> DataFrame:
+    """The columns `keep` of docs and `spans` (or `name`): array of (kind, low, high, value_low, hash, n_owners, live), by row.
 
     Rows meet their spans by a number given where the scan's result is stored; only rows with candidates take part
     in the counting and the join.
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     none = F.expr("filter(array(named_struct('low', 0L, 'rank', 0L, 'kind', '', 'high', 0L, 'value_low', 0L, 'hash', '', 'n_owners', 0L, 'live', false)), x -> false)")
     some = held.filter(F.size("spans") > 0).drop("spans").join(told, "_r", "left").withColumn("spans", F.coalesce("spans", none))
     out = some.unionByName(held.filter(F.size("spans") == 0).withColumn("spans", none))
-    return out.select(*[F.col(f"_k_{c}").alias(c) for c in keep], "spans")
+    return out.select(*[F.col(f"_k_{c}").alias(c) for c in keep], F.col("spans").alias(name))
 
 
 def written(spans):
@@ -116,20 +116,20 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
 
     Every document stays; widely copied examples stay as they are. Overlapping spans are replaced as one.
     """
-    found = scan(docs, repository, owner, max_owners, tuple(docs.columns))
-    live = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["value_low"].alias("low"), s["high"].alias("high"), s["kind"].alias("kind")))
-    found = found.withColumn("_live", F.sort_array(live))
-    merged = F.expr("""aggregate(_live, CAST(array() AS array<struct<low: bigint, high: bigint, kind: string>>), (done, s) ->
+    found = scan(docs, repository, owner, max_owners, tuple(docs.columns), "__spans")
+    live = F.transform(F.filter("__spans", lambda s: s["live"]), lambda s: F.struct(s["value_low"].alias("low"), s["high"].alias("high"), s["kind"].alias("kind")))
+    found = found.withColumn("__live", F.sort_array(live))
+    merged = F.expr("""aggregate(__live, CAST(array() AS array<struct<low: bigint, high: bigint, kind: string>>), (done, s) ->
         CASE WHEN size(done) > 0 AND get(done, size(done) - 1).high > s.low
         THEN concat(slice(done, 1, size(done) - 1), array(named_struct('low', get(done, size(done) - 1).low, 'high', greatest(get(done, size(done) - 1).high, s.high), 'kind', get(done, size(done) - 1).kind)))
         ELSE concat(done, array(s)) END)""")
-    found = found.withColumn("_live", merged)
-    cut = F.expr("""concat(array_join(transform(_live, (s, i) -> concat(
-        substring(text, CAST(coalesce(get(_live, i - 1).high, 0) + 1 AS int), CAST(s.low - coalesce(get(_live, i - 1).high, 0) AS int)), '[', s.kind, ']')), ''),
-        substring(text, CAST(get(_live, size(_live) - 1).high + 1 AS int)))""")
-    out = found.withColumn("text", F.when(F.size("_live") > 0, cut).otherwise(F.col("text")))
+    found = found.withColumn("__live", merged)
+    cut = F.expr("""concat(array_join(transform(__live, (s, i) -> concat(
+        substring(text, CAST(coalesce(get(__live, i - 1).high, 0) + 1 AS int), CAST(s.low - coalesce(get(__live, i - 1).high, 0) AS int)), '[', s.kind, ']')), ''),
+        substring(text, CAST(get(__live, size(__live) - 1).high + 1 AS int)))""")
+    out = found.withColumn("text", F.when(F.size("__live") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_live") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__live") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -110,8 +110,8 @@ def op9_simhash(spark, sf_dir):
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs for each component, all columns: the smallest doc_id's. Rows that share this id: the one with the
-    smallest text, of equal texts any one (they are equal in what counts).
+    """One row of docs for each component, all columns: the smallest doc_id's. Of rows that share this id, one with the
+    smallest text stays. Rows without an id cannot be named; of those, one of each text stays.
 
     Only doc_ids are joined back: ids that stay are unique, and those whose component has another first id go.
     """
@@ -119,10 +119,10 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # Ids that occur on more rows, and rows without an id, are few in sound data and are settled by themselves.
-    often = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    often = kept.groupBy("doc_id").agg(F.count("*").alias("__count")).filter("__count > 1 OR doc_id IS NULL")
     often = materialize(often, "simhash-repeated-ids")
     if often.isEmpty():
         return kept
     named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.hex(F.xxhash64("text"))))
-    again = kept.join(often.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").groupBy(named.alias("_n")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.join(often.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(again)
+    again = kept.join(often.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").groupBy(named.alias("__n")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
+    return kept.join(often.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(again)

@@ -1,0 +1,338 @@
+"""The operators against plain versions of the same rules, on small fixtures and the smallest tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from siftline.llm import chat_format, decontaminate, graph, language_id, mixing, quality_classifier, quality_rules, repeats, secrets, simhash, toxicity
+from siftline.llm.queries import QUERIES, SQL
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for name, sql in SQL.items():
+        ours, theirs = (df[sorted(df.columns)].astype(str).sort_values("doc_id").reset_index(drop=True) for df in (QUERIES[name](spark, DATA).toPandas(), con.sql(sql).df()))
+        assert ours.equals(theirs), name
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_blocks_equal_one_viterbi_run(spark):
+    r = random.Random(5)
+    texts = ["User: hi?\nAssistant: yes\nit is", None, "", "You are a helper", "Q: what?", "1. a\n2. b", "x" * 300]
+    rows = [(r.choice([1, 2, None]), r.randint(0, 40), r.choice(["user", "assistant", None, "bot", "weird"]), r.choice(texts)) for _ in range(200)]
+    key = lambda x: tuple((v is not None, v if isinstance(v, int) else (v or "").encode()) for v in (x[0], x[1], x[3], x[2]))
+    want = []
+    for _, group in itertools.groupby(sorted(rows, key=key), key=lambda x: x[0]):
+        group = list(group)
+        scores, paths = chat_format.viterbi(np.where(np.arange(chat_format.N) == chat_format.START, 0, chat_format.NEVER), chat_format._steps_of([{"text": x[3], "role": x[2]} for x in group]))
+        path, at = paths[scores.argmax()][1:].tobytes(), 0
+        for x in group:
+            n = (x[3] or "").count("\n") + 1
+            want += [(x[0], x[1], part, x[2], role, text) for part, role, text in chat_format.turns({"text": x[3], "role": x[2]}, path[at : at + n])]
+            at += n
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (1, 7, 512):
+        got = [tuple(x)[:6] for x in chat_format.chat_format(df, block).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_chat_recovers_roles(spark):
+    rows = [(1, 0, None, "You are a helpful assistant."), (1, 1, None, "Hi, what is the time?"), (1, 2, None, "It is noon."), (2, 0, "human", "User: a\nAssistant: b")]
+    got = {(r["conv_id"], r["turn"], r["part"]): (r["role"], r["text"]) for r in chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t, 0][0] for t in range(3)] == ["system", "user", "assistant"]
+    assert got[2, 0, 0] == ("user", "a") and got[2, 0, 1] == ("assistant", "b")
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------------
+
+
+def removed(rows, length):
+    seen = Counter(hashlib.md5(b[p : p + length]).digest() for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - length + 1))
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - length + 1):
+            if seen[hashlib.md5(b[p : p + length]).digest()] > 1:
+                gone[p : p + length] = True
+        gone = gone[: len(b)]
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats(spark, docs):
+    assert {r[0]: tuple(r)[1:] for r in QUERIES["op2_repeats"](spark, DATA).collect()} == removed(docs, 400)
+
+
+@pytest.mark.parametrize("group", [2000, 3])
+def test_repeats_of_low_entropy(spark, group):
+    r = random.Random(3)
+    base = ["".join(r.choice("ab c") for _ in range(60)) for _ in range(6)]
+    rows = [(i, "".join(r.choice(base)[r.randint(0, 20) :] if r.random() < 0.4 else "".join(r.choice("abcdefghé") for _ in range(30)) for _ in range(r.randint(0, 14)))) for i in range(80)]
+    rows += [(500, None), (501, ""), (502, "a" * 300), (503, "b" * 39), (504, "b" * 40)]
+    got = {x[0]: tuple(x)[1:] for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, group).collect()}
+    assert got == removed(rows, 40)
+
+
+def test_suffix_array():
+    words = [b"banana", b"band", b"", b"ban", b"banana"]
+    rank, lcp = repeats.suffix_array(words)
+    assert sorted(words) == [words[i] for i in np.argsort(rank)] and lcp.tolist() == [0, 0, 3, 6, 3]
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_language(spark):
+    out = QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = out.filter("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) == r["held_out"] for r in out.collect())
+
+
+def test_language_masks_are_exact_sets(spark):
+    df = spark.createDataFrame([(i, t, lang, "s") for i, (t, lang) in enumerate([("alpha beta gamma", "x"), ("delta epsilon zeta", "y")] * 3) if zlib.crc32(str(i).encode()) % 3 != 1], "doc_id long, text string, lang string, source string")
+    m = language_id.train(df)
+    assert language_id.identify("beta alpha", m)[0] == "x" and language_id.identify("zeta", m)[0] == "y"
+    assert language_id.identify("12 !", m) == ("und", 0.0) and language_id.identify(None, m) == ("und", 0.0)
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------------
+
+
+def base_spans(text):
+    patterns = (
+        ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    )
+    return sorted((m.start(), n, kind, m.end()) for n, (kind, p, ok) in enumerate(patterns) for m in re.finditer(p, text or "") if ok(m))
+
+
+def test_secrets(spark, docs):
+    extra = [(10**6, 'secret=token"=abcdefgh é password : "hunter22" toKEN=ſabc KEY AKIAAKIA' + "Z" * 20 + " " + "ab01" * 6), (10**6 + 1, "apikey=xy, API_KEY = 'abcdef'")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in docs + extra], "doc_id long, text string, source string")
+    got = {r["doc_id"]: [s for s in r["spans"] if s["kind"] != "opaque"] for r in secrets.scan(df, keep=("doc_id",)).collect()}
+    for i, t in docs + extra:
+        assert [(s["low"], s["kind"], s["high"]) for s in got[i]] == [(a, k, b) for a, _, k, b in base_spans(t)]
+
+
+def test_ownership(spark):
+    wide, own = "token = 'AAAAbbbb1111'", "token = 'CCCCdddd2222'"
+    df = spark.createDataFrame([(i, wide, f"s{i}") for i in range(5)] + [(9, own, "s9"), (10, own + " and " + wide, "s9")], "doc_id long, text string, source string")
+    live = {r["doc_id"]: [s["live"] for s in r["spans"]] for r in secrets.scan(df, keep=("doc_id",)).collect()}
+    assert live[0] == [False] and live[9] == [True] and live[10] == [True, False]
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert text[0] == wide and text[9] == "token = '[assign]'" and text[10] == "token = '[assign]' and " + wide
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_decontamination(spark, docs):
+    items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()] + [("900", "the"), ("901", docs[0][1][:30])]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    find = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for name, t in items:
+        w = find(t)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(name)
+    want = {}
+    for i, t in docs:
+        w, hit, its = find(t), set(), set()
+        for n in set(map(len, windows)):
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    its |= found
+                    hit |= set(range(k, k + n))
+        want[i] = (len(w), len(hit), len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), bool(hit))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(int(i), t) for i, t in items], "item_id long, text string")
+    for chars in (4_000_000, 800):
+        got = {r["doc_id"]: tuple(r)[1:6] for r in decontaminate.contamination(df, bench, block_chars=chars).collect()}
+        assert got == want
+
+
+def test_proximity(spark):
+    df = spark.createDataFrame([(1, "red x blue y green"), (2, "red " + "x " * 30 + "blue green"), (3, "green blue red")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "red blue green")], "item_id long, text string")
+    near = {r["doc_id"] for m in decontaminate.matches(df, bench, slack=2) for r in m.collect() if r["items"]}
+    assert near == {1, 3}
+
+
+# 6, 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_string_kernel():
+    def plain(s, t, p, decay):
+        return sum(decay ** (i[-1] - i[0] + j[-1] - j[0] + 2) for i in itertools.combinations(range(len(s)), p) for j in itertools.combinations(range(len(t)), p) if all(s[a] == t[b] for a, b in zip(i, j, strict=True)))
+
+    s, t = [b"idiot", b"idxiot", b"thation", b"io"], [b"idiot", b"clown"]
+    assert np.allclose(toxicity.kernels(s, t), [[plain(a, b, toxicity.ORDER, toxicity.DECAY) for b in t] for a in s], atol=1e-5)
+    assert np.allclose(toxicity.own_kernel(s), [plain(a, a, toxicity.ORDER, toxicity.DECAY) for a in s], atol=1e-5)
+    assert toxicity.units(b"You i-d-i-o-t, i d i o t!") == [b"^you", b"^idiot", b"^idiot"]
+
+
+def auc(score, y):
+    order = np.argsort(np.argsort(score))
+    y = np.array(y) == 1
+    return (order[y].mean() - (y.sum() - 1) / 2) / (~y).sum()
+
+
+@pytest.mark.parametrize("name,label,least", [("op6_toxicity", "toxic", 0.85), ("op8_quality_classifier", "quality", 0.9)])
+def test_classifiers_on_held_out_labels(spark, name, label, least):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", label).distinct()
+    held = QUERIES[name](spark, d).filter("held_out").join(labels, "doc_id").select("score", label).collect()
+    assert auc([r["score"] for r in held], [r[label] for r in held]) >= least
+
+
+def test_quality_reads_whole_texts(spark):
+    good, bad = b"plain words of good prose here " * 20, b"BUY!! NOW!! $$$ ### "
+    m = quality_classifier.Model(good * 5, bad * 50, 50.0, 0.0)
+    assert quality_classifier.score(good * 5 + bad * 400, m) < quality_classifier.score(good * 5, m)
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_rules_against_plain_python(spark, docs):
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {p for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        assert got[i] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+
+
+def test_rules_use_no_python(spark):
+    plan = quality_rules.quality_rules(spark.read.parquet(f"{DATA}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    ones = [sum(xxhash.xxh64_intdigest(g, 42) >> k & 1 for g in grams) for k in range(64)]
+    return sum(1 << k for k in range(64) if 2 * ones[k] > len(grams)) if grams else 0
+
+
+def joined(values, near):
+    root = {x: x for x in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(values, 2):
+        if near(a, b):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    return {x: find(x) for x in values}
+
+
+def test_simhash(spark, docs):
+    prints = {i: plain_fingerprint(t) for i, t in docs}
+    group = joined(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    got = {r[0]: (r[1], r[2]) for r in QUERIES["op9_simhash"](spark, DATA).collect()}
+    assert got == {i: (f"{p:016x}", group[i]) for i, p in prints.items()}
+
+
+@pytest.mark.parametrize("limit", [64, 1])
+def test_simhash_dense_buckets(spark, limit):
+    r = random.Random(1)
+    values = set()
+    for _ in range(200):
+        v = 0x9E3779B97F4A7C15
+        for _ in range(r.randint(0, 6)):
+            v ^= 1 << r.randrange(64)
+        values.add(v - (1 << 64) if v >> 63 else v)
+    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 2, limit)
+    roots = {x["node"]: x["root"] for x in graph.components(links).collect()}
+    want = joined(sorted(values), lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2)
+    assert {v: roots.get(v, v) for v in values} == want
+
+
+def test_long_chain_of_links(spark):
+    df = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["root"] for r in graph.components(df).collect()} == {1}
+
+
+# 10 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_targets(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 500), ("c", 0)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    weights, bound = {"a": 5, "b": 2, "c": 1, None: 5}, {"a": 20, "b": 2000, "c": 0, None: 1000}
+    want, rest = {}, 1.5 * 1510
+    while True:  # excess is shared again until none is above its bound
+        free = [s for s in weights if s not in want]
+        share = {s: rest * weights[s] / sum(weights[f] for f in free) for s in free}
+        over = [s for s in free if share[s] > bound[s]]
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = float(bound[s])
+            rest -= bound[s]
+    assert got == pytest.approx(want)
+
+
+def test_mix(spark):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    plan = mixing.plan(df)
+    for r in plan.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n"), F.max("copies").alias("m")).collect():
+        assert abs(r["n"] - r["t"]) < 0.05 * r["t"] and r["m"] <= 2
+    key = lambda d: sorted((r["doc_id"], r["copies"]) for r in d.filter("copies > 0").collect())
+    emitted = mixing.mix(df).groupBy("doc_id").agg(F.count("*").cast("int").alias("copies"))
+    assert key(plan) == key(emitted) == key(mixing.plan(df.repartition(7)))
+
+
+# pipeline --------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    good = stages[0](spark, docs, d).cache()
+    scores = {r["doc_id"]: r["score"] for r in QUERIES["op8_quality_classifier"](spark, d).collect()}
+    assert {r["doc_id"] for r in good.collect()} == {i for i, s in scores.items() if s >= 0.7}
+    first = stages[1](spark, good, d).cache()
+    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in good.collect()}
+    group = joined(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert sorted(r["doc_id"] for r in first.collect()) == sorted(set(group.values()))
+    clean = stages[2](spark, first, d).cache()
+    hit = {r["doc_id"] for r in QUERIES["op5_decontaminate"](spark, d).filter("contaminated").collect()}
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in first.collect()} - hit
+    masked = stages[3](spark, clean, d)
+    assert masked.count() == clean.count() and masked.columns == docs.columns
+    assert corpus_pipeline.run(spark, d).count() > 0
