@@ -225,7 +225,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     # Keys at two places or more; copies of a text are one place.
     place = F.xxhash64("t1", "t2", "place")
     often = each.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key")
-    some = each.join(often, "key", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("key", "place", "first", "last")).alias("found"))
+    often = materialize(often, "repeats-keys")  # a stored table: the join shuffles for itself, at every size, and can split a hot key
+    some = each.join(often.hint("merge"), "key", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("key", "place", "first", "last")).alias("found"))
     # The text of one row of each such name (the smallest doc_id; rows that tie there are equal in all that counts).
     first = named.filter(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n"))
     wanted = some.join(first, ["t1", "t2"])
@@ -237,8 +238,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
         F.min(place).alias("_a"), F.max(place).alias("_b"), F.min("before").alias("before"), F.min("after").alias("after")
     ).withColumn("all", F.col("_a") != F.col("_b")).drop("_a", "_b")
     entries = materialize(entries, "repeats-dictionary")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    told = entries.join(sizes, "key")
+    sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "repeats-sizes")
+    told = entries.join(sizes.hint("merge"), "key")
     few = told.filter(F.col("m") <= group).select("key", "c1", "c2", "before", "after").repartition("key").sortWithinPartitions("key")
     decided = few.mapInArrow(lambda it: _decide(it, length), "key long, c1 long, c2 long, runs array<struct<low: long, high: long>>")
     decided = decided.select("key", "c1", "c2", F.explode("runs").alias("r")).select("key", "c1", "c2", "r.*")
