@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage of each level."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "siftline-checkpoint")
-    path = f"{folder.rstrip('/')}/siftline/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from siftline.sources.shared import stored
 
 
 def reach(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """links (site, src, dst), seeds (site, key): each key reached within a site with its least depth. Every level is an
     anti join against all seen; the loop is bounded by max_depth and ends early."""
-    seen = level = _stored(seeds.select("site", "key").distinct().withColumn("depth", F.lit(0)))
+    seen = level = stored(seeds.select("site", "key").distinct().withColumn("depth", F.lit(0)), "frontier")
     for depth in range(1, max_depth + 1):
         to = level.join(links, (level["site"] == links["site"]) & (level["key"] == links["src"])).select(level["site"], F.col("dst").alias("key")).distinct()
-        level = _stored(to.join(seen, ["site", "key"], "left_anti").withColumn("depth", F.lit(depth)))
+        level = stored(to.join(seen, ["site", "key"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

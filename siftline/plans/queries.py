@@ -14,6 +14,8 @@ from siftline.functions import names as N
 from siftline.functions import urls as U
 from siftline.operators import filters, frontier, lists, reports, rows, store
 from siftline.operators import html as H
+from siftline.sources.shared import new_path
+from siftline.streaming import latest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -501,14 +503,7 @@ def json_props(spark, d):
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def stream_latest(spark, d):
     """The newest event of each user by a file stream that takes what there is and stops."""
-    import os
-    import tempfile
-    import uuid
-
-    from siftline.streaming import latest
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "siftline-checkpoint")
-    folder = f"{base.rstrip('/')}/siftline/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     t(spark, d, "events").write.parquet(f"{folder}/in")
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     out = latest.run_available(spark, f"{folder}/in", schema, ["user_id"], ["event_id"], f"{folder}/out", f"{folder}/checkpoint")
