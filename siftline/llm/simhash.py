@@ -72,8 +72,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, pair_limit: int = PAIR_LIMIT
     entries = fps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).cast("byte").alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)
     ])).alias("e")).select("fp", "e.*")
-    sizes = entries.groupBy("pair", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialize(entries.join(sizes, ["pair", "key"]), "simhash-blocks")
+    # Tables joined on what they were grouped by are stored first: the join shuffles for itself and can split a hot key.
+    sizes = materialize(entries.groupBy("pair", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
+    met = materialize(entries.join(sizes.hint("merge"), ["pair", "key"]), "simhash-blocks")
     some = met.filter(F.col("n") <= pair_limit).select("pair", "key", "fp")
     other = some.withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance
@@ -99,8 +100,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANC
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), distance, pair_limit), "simhash-links")
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(named, "root").select("fp", "component_id")
+    nodes = materialize(nodes, "simhash-nodes")
+    named = materialize(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
+    nodes = nodes.join(named.hint("merge"), "root").select("fp", "component_id")
     return prints.join(nodes, "fp")
 
 
