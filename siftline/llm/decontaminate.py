@@ -264,3 +264,16 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     """The rows of docs without a benchmark window, all columns. A doc_id that occurs on more rows goes if one of them has one."""
     hit = contamination(docs, benchmark, window, block_chars).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = {"op5_decontaminate": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+q AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, unnest(list_transform(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1), lambda i: array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' '))) AS win FROM b WHERE len(w) > 0),
+p AS (SELECT r, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'win': array_to_string(list_slice(w, i, i + n - 1), ' ')}})) AS x FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n),
+h AS (SELECT r, x.i AS i, p.n AS n, item FROM p JOIN q ON q.n = p.n AND q.win = x.win),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""}

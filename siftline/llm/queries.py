@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-SQL = {**quality_rules.SQL, **mixing.SQL}
+SQL = {**repeats.SQL, **secrets.SQL, **decontaminate.SQL, **quality_rules.SQL, **mixing.SQL}

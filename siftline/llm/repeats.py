@@ -277,3 +277,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
 
 def op2_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = {"op2_repeats": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT r, doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT r, unnest(list_transform(range(0, n - {LENGTH} + 1), lambda i: {{'i': i, 'h': md5(b[i + 1:i + {LENGTH}])}})) AS x FROM n WHERE n >= {LENGTH}),
+g AS (SELECT x.h AS h FROM w GROUP BY 1 HAVING count(*) > 1),
+s AS (SELECT r, x.i AS i FROM w WHERE x.h IN (SELECT h FROM g)),
+c AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH}, true)::INT AS cut FROM s),
+k AS (SELECT r, i, sum(cut) OVER (PARTITION BY r ORDER BY i) AS k FROM c),
+t AS (SELECT r, k, min(i) AS low, max(i) + {LENGTH} AS high FROM k GROUP BY r, k),
+u AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS prev FROM t),
+a AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS top, string_agg(hex(b[prev + 1:low]), '' ORDER BY low) AS kept FROM u JOIN n USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(top, 0) + 1:n]))) AS kept_sha256 FROM n LEFT JOIN a USING (r)"""}

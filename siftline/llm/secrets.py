@@ -140,3 +140,33 @@ def op4_secrets(spark, sf_dir):
     kinds = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS[:3]]
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
     return out.select("doc_id", *kinds, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), live)
+
+
+def _found(kind: str, pattern: str, group: int) -> str:
+    """SQL for the matches of one kind: starts follow from the lengths of the matches and of what lies between them."""
+    pattern = pattern.replace("'", "''")
+    return rf"""SELECT r, '{kind}' AS kind, {KINDS.index(kind) + 1} AS rank, unnest(list_transform(range(1, len(m) + 1), lambda k: {{
+        'low': list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0), 'n': length(m[k]), 'v': g[k]}})) AS x
+      FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS s FROM d)"""
+
+
+# The same letters in either case, but no other characters that fold to them.
+_ASSIGN = re.sub(r"[a-z]+(?=[|_)?])", lambda m: "".join(f"[{c.upper()}{c}]" for c in m[0]), "(password|passwd|secret|token|api_?key)") + ASSIGN.pattern.split(")", 1)[1]
+SQL = {"op4_secrets": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({_found("assign", _ASSIGN, 2)}
+  UNION ALL {_found("access", ACCESS.pattern, 0)}
+  UNION ALL {_found("hex", HEX.pattern, 0)}
+  UNION ALL {_found("opaque", OPAQUE.pattern, 0)}),
+s AS (SELECT r, kind, rank, x.low::BIGINT AS low, (x.low + x.n)::BIGINT AS high, x.v AS v FROM f),
+b AS (SELECT * FROM s WHERE kind = 'assign' AND length(v) >= {MIN_ASSIGN} OR kind = 'access' AND length(v) >= {MIN_ACCESS} OR kind = 'hex'),
+o AS (SELECT * FROM s WHERE kind = 'opaque' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+        AND list_aggregate(string_split(v, ''), 'entropy') >= {MIN_ENTROPY}
+        AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = s.r AND b.low < s.high AND s.low < b.high)),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM o),
+own AS (SELECT v, count(DISTINCT coalesce('=' || source, '-')) <= {MAX_OWNERS} AS live FROM c JOIN d USING (r) GROUP BY v),
+e AS (SELECT r, kind, rank, low, live, concat_ws(':', kind, low, high) AS w FROM c JOIN own USING (v) WHERE kind <> 'opaque' OR live),
+z AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+        string_agg(w, ',' ORDER BY low, rank) FILTER (kind <> 'opaque') AS base, string_agg(w, ',' ORDER BY low, rank) AS spans FROM e GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live FROM d LEFT JOIN z USING (r)"""}

@@ -1,10 +1,11 @@
 """Each operator over nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm.queries import QUERIES
+from siftline.llm.queries import QUERIES, SQL
 
 LONG = "the word and of it is Ünï " * 40_000
 ROWS = [
@@ -29,6 +30,11 @@ def folders(spark, tmp_path_factory):
         for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench), ("conversations", conv)):
             (df if kind == "full" else df.limit(0)).write.parquet(f"{d}/{name}.parquet")
         out[kind] = str(d)
+    # Without the very long texts, over which the list functions of the plain SQL take too long.
+    d = tmp_path_factory.mktemp("sql")
+    docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 10_000).write.parquet(f"{d}/documents.parquet")
+    bench.write.parquet(f"{d}/benchmark.parquet")
+    out["sql"] = str(d)
     return out
 
 
@@ -43,6 +49,20 @@ def test_edges(spark, folders, name):
     assert QUERIES[name](spark, folders["empty"]).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_edges_by_sql(spark, folders, name):
+    con = duckdb.connect()
+    for x in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {x} AS SELECT * FROM '{folders['sql']}/{x}.parquet/*.parquet'")
+    theirs = con.sql(SQL[name])
+    columns = sorted(theirs.columns)
+    ours = QUERIES[name](spark, folders["sql"])
+    assert sorted(ours.columns) == columns
+    ours = sorted(str(tuple(r)) for r in ours.select(*columns).collect())
+    theirs = sorted(map(str, theirs.select(", ".join(columns)).fetchall()))
+    assert ours == theirs
+
+
 def test_pipeline(spark, folders):
     for kind in ("full", "empty"):
         docs = spark.read.parquet(f"{folders[kind]}/documents.parquet")
