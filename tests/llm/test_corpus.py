@@ -147,6 +147,23 @@ def test_ownership(spark):
     assert text[0] == wide and text[9] == "token = '[assign]'" and text[10] == "token = '[assign]' and " + wide
 
 
+def test_hot_values_are_split(spark):
+    """The joins on a key that most rows share are cut into several tasks."""
+    conf = {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "adaptive.advisoryPartitionSizeInBytes": "20KB", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    other = F.concat(F.lit("token = 'Z"), F.md5(F.col("id").cast("string")), F.lit("'"))
+    df = spark.range(100_000, numPartitions=16).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 != 0, "token = 'AAAAbbbb1111'").otherwise(other).alias("text"), F.lit("s").alias("source"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        for out in (secrets.scan(df, keep=("doc_id",)), simhash.near_duplicates(df)):
+            assert len(out.collect()) == 100_000
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
