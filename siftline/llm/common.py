@@ -33,6 +33,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, stored once with a number of each row in `__row`: repeated or null ids name rows no longer."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

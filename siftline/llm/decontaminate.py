@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize, table
+from siftline.llm.common import materialize, numbered, table
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -261,9 +261,11 @@ def op5_decontaminate(spark, sf_dir):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs without a benchmark window, all columns. A doc_id that occurs on more rows goes if one of them has one."""
-    hit = contamination(docs, benchmark, window, block_chars).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """The rows of docs without a benchmark window, all columns. Each row is judged by itself, whatever its doc_id."""
+    rows = numbered(docs, "decontaminate-rows")
+    found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, block_chars)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
