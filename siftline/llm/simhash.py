@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize
+from siftline.llm.common import materialize, numbered
 from siftline.llm.graph import components
 
 WIDTH = 3
@@ -94,13 +94,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, pair_limit: int = PAIR_LIMIT
     return pairs.unionAll(stars)
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, fp, component_id): the smallest doc_id reachable over links."""
-    prints = materialize(fingerprints(docs, width), "simhash-fingerprints")
+def _rooted(prints: DataFrame, distance: int, pair_limit: int) -> DataFrame:
+    """prints (doc_id, fp) to nodes (fp, first, root): the smallest doc_id of a fingerprint, the smallest fingerprint reachable."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), distance, pair_limit), "simhash-links")
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    nodes = materialize(nodes, "simhash-nodes")
+    return materialize(nodes, "simhash-nodes")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, fp, component_id): the smallest doc_id reachable over links."""
+    prints = materialize(fingerprints(docs, width), "simhash-fingerprints")
+    nodes = _rooted(prints, distance, pair_limit)
     named = materialize(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
     nodes = nodes.join(named.hint("merge"), "root").select("fp", "component_id")
     return prints.join(nodes, "fp")
@@ -111,20 +116,24 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs for each component, all columns: the smallest doc_id's. Of rows that share this id, one with the
-    smallest text stays. Rows without an id cannot be named; of those, one of each text stays.
-
-    Only doc_ids are joined back: ids that stay are unique, and those whose component has another first id go.
-    """
-    found = near_duplicates(docs, **options)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Ids that occur on more rows, and rows without an id, are few in sound data and are settled by themselves.
-    often = kept.groupBy("doc_id").agg(F.count("*").alias("__count")).filter("__count > 1 OR doc_id IS NULL")
-    often = materialize(often, "simhash-repeated-ids")
-    if often.isEmpty():
-        return kept
-    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.hex(F.xxhash64("text"))))
-    again = kept.join(often.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").groupBy(named.alias("__n")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
-    return kept.join(often.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(again)
+def keep_first(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """One row of docs for each component of rows, all columns: the first by doc_id (nulls last), text and place."""
+    rows = numbered(docs, "simhash-rows")
+    prints = materialize(fingerprints(rows.select(F.col("__row").alias("doc_id"), "text"), width), "simhash-fingerprints")
+    nodes = _rooted(prints, distance, pair_limit).select("fp", "root")
+    return _first_rows(rows, prints.join(nodes.hint("merge"), "fp").select(F.col("doc_id").alias("__row"), "root")).select(*docs.columns)
+
+
+def _first_rows(rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of rows, for each root of rooted (__row, root) the first by doc_id (nulls last), text and __row."""
+    ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
+    rooted = materialize(rooted.join(ids, "__row"), "simhash-rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("__id").alias("least")), "simhash-least")
+    tied = rooted.join(least.hint("merge"), "root").filter(F.col("__id").eqNullSafe(F.col("least"))).select("root", "__row")
+    tied = materialize(tied, "simhash-tied")
+    groups = materialize(tied.groupBy("root").agg(F.min("__row").alias("__row"), F.count("*").alias("n")), "simhash-groups")
+    # Texts are read only where several rows share the least id, or lack one.
+    many = tied.join(groups.filter("n > 1").select("root").hint("merge"), "root")
+    texts = rows.select("__row", F.coalesce("text", F.lit("")).alias("text")).join(many, "__row")
+    kept = groups.filter("n = 1").select("__row").unionAll(texts.groupBy("root").agg(F.min(F.struct("text", "__row")).alias("m")).select("m.__row"))
+    return rows.join(materialize(kept, "simhash-kept"), "__row", "left_semi")
