@@ -22,8 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id (one row of it; a group without ids: one row)."""
-    return simhash.keep_first(docs)
+    """Of each group of documents linked by a similarity of 0.8 of their five-word shingles one row: the smallest doc_id's, if there is one."""
+    return simhash.keep_similar(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*stored: DataFrame) -> None:
+    """Deletes tables that `materialize` made and nothing reads any more."""
+    for df in stored:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs, stored once with a number of each row in `__row`: repeated or null ids name rows no longer."""
     return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), name)
