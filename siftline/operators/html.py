@@ -285,7 +285,7 @@ def _features(batches: Iterator[pa.RecordBatch], junk_domains: bool) -> Iterator
         for page_id, url, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             root = parse(raw)
             host = (re.match(r"(?i)https?://([^/?#:]+)", url or "") or [None, ""])[1].lower()
-            rows.append((page_id, url, first_text(root, "title"), first_text(root, "h1"), page_title(root), business(root, host), len(root.text()), links(root, url or ""), merge(candidates(root, raw or "", junk_domains)) if raw and ("@" in raw or "cfemail" in raw or "email" in raw) else []))
+            rows.append((page_id, url, first_text(root, "title"), first_text(root, "h1"), page_title(root), business(root, host), len(root.text()), links(root, url or ""), merge(candidates(root, raw, junk_domains)) if raw else []))
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 

@@ -216,8 +216,7 @@ def page_features(spark, d):
 
 @query()
 def page_hits(spark, d):
-    f = H.page_features(t(spark, d, "pages").filter(F.col("html").contains("@")), junk_domains=False)
-    return H.hits(f)
+    return H.hits(H.page_features(t(spark, d, "pages"), junk_domains=False))
 
 
 @query()
