@@ -248,9 +248,8 @@ def rot13_roundtrip(spark, d):
 
 @query()
 def deobfuscate(spark, d):
-    """Addresses written in words are read again as addresses."""
-    spoken = F.regexp_replace(F.regexp_replace("raw", "@", " [at] "), r"\.", " dot ")
-    return _emails(spark, d).select("raw", E.deobfuscate(F.concat(F.lit("write to "), spoken)).alias("text")).distinct()
+    """The addresses of each document's whole text, in order, those written in words among them."""
+    return t(spark, d, "documents").select("doc_id", F.posexplode(E.found(E.deobfuscate(F.col("text")))).alias("pos", "raw"))
 
 
 @query(f"SELECT {_simple('split_part(raw, chr(64), 2)')} AS domain, count(*) AS n, count(DISTINCT raw) AS n_distinct FROM ({_EMAILS}) GROUP BY 1")
