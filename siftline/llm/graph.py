@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize
+from siftline.llm.common import forget, materialize
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -24,10 +24,13 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         # (stored, so that the join shuffles for itself and can split a node with very many neighbours)
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
         large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, name)
         # small-star: u and its smaller neighbours are hung on the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(lower.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        done = materialize(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), name)
+        forget(links, least, large, lower)
+        links = done
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -142,100 +142,110 @@ def keep_first(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, pa
     return _first_rows(rows, prints.join(nodes.hint("merge"), "fp").select(F.col("doc_id").alias("__row"), "root")).select(*docs.columns)
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (__row, text) to (__row, node, fp, n, shingles): the distinct shingles' hashes, ascending, and a hash of them all."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) to (node, shingles): the distinct shingles' hashes, ascending."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sets, prints = [], []
-            for t in part.column(1).cast(pa.binary()):
-                hashes = _hashes(t.as_py() or b"", width)
-                prints.append(_fingerprint(hashes))
-                sets.append(np.unique(hashes).view(np.int64))
-            node = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
-            n = np.fromiter(map(len, sets), np.int32, len(sets))
-            ends = np.concatenate(([0], np.cumsum(n)))
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(n), held], ["__row", "node", "fp", "n", "shingles"])
+            sets = [np.unique(_hashes(t.as_py() or b"", width)).view(np.int64) for t in part.column(1).cast(pa.binary())]
+            ends = np.concatenate(([0], np.cumsum(list(map(len, sets)))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], usual: tuple[np.ndarray, np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    """Sets (node, n, shingles) to (node, n, key, at): of n shingles the n - ceil(n percent / 100) + 1 least usual ones.
+def _keyed(batches: Iterator[pa.RecordBatch], width: int, usual: tuple[np.ndarray, np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (__row, text) to (__row, node, fp, n, keys): a hash of the shingle set, its fingerprint and size, and of its n shingles the
+    n - ceil(n percent / 100) + 1 least usual ones.
 
     Two sets as similar as `percent` share more than the others alone can hold, so they meet in a key at least; any one order does.
     """
     slots, counts = usual
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            node, n, keys, places = [], [], [], []
-            for i, size, x in zip(*(c.slice(at, 1024) for c in batch.columns), strict=True):
-                x = x.values.to_numpy()
-                most = len(x) + (-len(x) * percent) // 100 + 1
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            node, prints, sizes, keys = [], [], [], []
+            for t in part.column(1).cast(pa.binary()):
+                hashes = _hashes(t.as_py() or b"", width)
+                prints.append(_fingerprint(hashes))
+                x = np.unique(hashes)
+                node.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+                x = x.view(np.int64)
+                sizes.append(len(x))
+                most = len(x) + (-len(x) * percent) // 100 + 1 if len(x) else 0
                 if len(slots):
                     slot = x & (SLOTS - 1)
                     place = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
                     x = x[np.lexsort((x, np.where(slots[place] == slot, counts[place], 0)))]
                 keys.append(x[:most])
-                places.append(np.arange(len(keys[-1]), dtype=np.int32))
-                node.append(np.full(len(keys[-1]), i.as_py()))
-                n.append(np.full(len(keys[-1]), size.as_py(), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (node, n, keys, places)], ["node", "n", "key", "at"])
-
-
-def _usual(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of shingles and how many sets of a bounded sample hold them, if several do. It only orders shingles."""
-    rate = min(1.0, USUAL_SETS / max(1, sets.count()))
-    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    slots = some.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("k"))
+            ends = np.concatenate(([0], np.cumsum(list(map(len, keys)))))
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), held], ["__row", "node", "fp", "n", "keys"])
+
+
+def _usual(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of shingles and how many rows of a bounded sample hold them, if several do. It only orders shingles."""
+    rate = min(1.0, USUAL_SETS / max(1, rows.count()))
+    some = rows.filter(F.pmod(F.xxhash64("__row"), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    sets = some.select(F.col("__row").alias("node"), "text").mapInArrow(lambda it: _sets(it, width), "node long, shingles array<long>")
+    slots = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("k"))
     found = slots.filter("k >= 8").toArrow()
     slot, k = found.column("slot").to_numpy(), found.column("k").to_numpy()
     order = np.argsort(slot)
     return slot[order], k[order]
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose shingle sets are similar: |both| / |either| >= percent / 100, in whole numbers."""
+def _alike(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose shingle sets are similar: |both| / |either| >= percent / 100, in whole numbers.
+
+    Only the pairs' own texts are read, from the first row of each node, and only their sets are stored."""
     pairs = materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    two = two.join(pairs.select("b").distinct(), "b", "left_semi")  # the second join then moves no other sets
-    near = F.size(F.array_intersect("sa", "sb")).cast("long") * (100 + percent) >= (F.col("na").cast("long") + F.col("nb")) * percent
-    return materialize(pairs.join(one, "a").join(two, "b").filter(near).select("a", "b"), "simhash-alike")
+    nodes = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "simhash-paired")
+    wanted = materialize(firsts.select("node", "__row").join(nodes, "node"), "simhash-wanted")
+    sets = rows.select("__row", "text").join(wanted, "__row").select("node", "text")
+    sets = materialize(sets.mapInArrow(lambda it: _sets(it, width), "node long, shingles array<long>"), "simhash-sets")
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    near = F.size(F.array_intersect("sa", "sb")).cast("long") * (100 + percent) >= (F.size("sa").cast("long") + F.size("sb")) * percent
+    found = materialize(pairs.join(one, "a").join(two, "b").filter(near).select("a", "b"), "simhash-alike")
+    forget(pairs, nodes, wanted, sets)
+    return found
 
 
 def _near_size(a: str, b: str, percent: int):
     return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
 
-def similar_roots(sets: DataFrame, percent: int = SIMILAR, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """sets (node, fp, n, shingles), a row a node, to (node, root): components of all pairs as similar as `percent`.
+def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH, percent: int = SIMILAR, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """rows (__row, text) and made (__row, node, fp, n, keys) to (node, root): components of all pairs as similar as `percent`,
+    for nodes that share a key with another one.
 
     Blocks of bits cannot find a similarity of 0.8, where fingerprints differ by about 10 of 64 bits; they come first, as they join the
     closest sets cheaply. Then sets meet by their least usual shingles, which misses no pair. In keys of over `pair_limit` nodes all
     are held against one node, in ROUNDS rounds another one; last, in every key, the pairs not yet in one component are compared.
     Every link is verified by the sets themselves.
     """
-    fps = materialize(sets.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
+    each = made.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    shared = materialize(each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "simhash-shared")
+    # Most keys are one node's; where the others are few, they go to all and the keys are not shuffled.
+    keys = materialize(each.join(shared, "key", "left_semi").distinct(), "simhash-keys")
+    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("k")), "simhash-key-sizes")
+    nodes = materialize(keys.select("node").distinct(), "simhash-open-nodes")
+    firsts = made.select("__row", "node", "fp").join(nodes, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("__row", "fp"), "__row").alias("m"))
+    firsts = materialize(firsts.select("node", "m.__row", "m.fp"), "simhash-firsts")
+    forget(shared, nodes)
+
+    fps = materialize(firsts.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
     met = links(fps.select("fp"), DISTANCE, pair_limit)
     by_bits = met.join(fps.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = sets.select("fp", "node").join(fps.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    found = _alike(by_bits.unionAll(same), sets, percent)
-
-    sent = sets.sparkSession.sparkContext.broadcast(_usual(sets))
-    keys = sets.select("node", "n", "shingles").filter("n > 0").mapInArrow(lambda it: _keys(it, sent.value, percent), "node long, n int, key long, at int")
-    keys = materialize(keys, "simhash-keys")
-    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "simhash-key-sizes")
-    # Most keys are one node's; where the others are few, they go to all and the keys are not shuffled.
-    shared = materialize(keys.join(sizes, "key"), "simhash-shared-keys")
-    forget(keys)
-    keys = shared
+    same = firsts.select("fp", "node").join(fps.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = _alike(by_bits.unionAll(same), rows, firsts, width, percent)
+    forget(fps)
 
     def current() -> DataFrame:
         """The keys that hold nodes of several components, with these."""
         roots = materialize(components(found, "simhash-similar"), "simhash-roots")
-        held = materialize(keys.join(roots.withColumnRenamed("root", "__r").hint("merge"), keys["node"] == roots["node"], "left").select("key", "k", keys["node"], "n", "at", F.coalesce("__r", keys["node"]).alias("root")), "simhash-held")
-        open_ = materialize(held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"), "simhash-open")
+        held = keys.join(roots.withColumnRenamed("root", "__r").hint("merge"), keys["node"] == roots["node"], "left")
+        held = materialize(held.select("key", keys["node"], "n", "at", F.coalesce("__r", keys["node"]).alias("root")), "simhash-held")
+        open_ = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        open_ = materialize(open_.join(sizes, "key"), "simhash-open")
         out = materialize(held.join(open_.hint("merge"), "key"), "simhash-open-keys")
         forget(held, roots, open_)
         return out
@@ -248,42 +258,43 @@ def similar_roots(sets: DataFrame, percent: int = SIMILAR, pair_limit: int = PAI
         hubs = large.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(i))).alias("h"))
         hubs = materialize(hubs.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.root").alias("ra")), "simhash-hubs")
         pairs = large.join(hubs.hint("merge"), "key").filter((F.col("root") != F.col("ra")) & _near_size("n", "na", percent))
-        new = _alike(pairs.select("a", F.col("node").alias("b")), sets, percent)
-        found = found.unionAll(new)
-        forget(held)
+        found = found.unionAll(_alike(pairs.select("a", F.col("node").alias("b")), rows, firsts, width, percent))
+        forget(held, hubs)
         held = current()
     other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("rb"))
     # In the first key that two sets share, all that they share is there and behind.
     enough = F.least(F.col("n").cast("long") - F.col("at"), F.col("nb").cast("long") - F.col("bt")) * (100 + percent) >= (F.col("n").cast("long") + F.col("nb")) * percent
     pairs = held.join(other.hint("merge"), "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near_size("n", "nb", percent) & enough)
-    found = found.unionAll(_alike(pairs.select(F.col("node").alias("a"), "b"), sets, percent))
-    roots = components(found, "simhash-similar").withColumnRenamed("node", "__n")
-    return sets.select("node").join(roots, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = found.unionAll(_alike(pairs.select(F.col("node").alias("a"), "b"), rows, firsts, width, percent))
+    forget(held, keys, sizes, firsts)
+    return components(found, "simhash-similar")
 
 
 def keep_similar(docs: DataFrame, width: int = SIMILAR_WIDTH, percent: int = SIMILAR, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """One row of docs for each group of rows linked by similar shingle sets, all columns; the first as in keep_first."""
     rows = numbered(docs, "simhash-rows")
-    schema = "__row long, node long, fp long, n int, shingles array<long>"
-    # Shingles of copies are not stored: the first row of each node is read again instead.
-    made = materialize(rows.select("__row", "text").mapInArrow(lambda it: _shingled(it, width), schema).select("__row", "node"), "simhash-shingled")
-    firsts = materialize(made.groupBy("node").agg(F.min("__row").alias("__row")).select("__row"), "simhash-firsts")
-    sets = rows.select("__row", "text").join(firsts, "__row", "left_semi").mapInArrow(lambda it: _shingled(it, width), schema)
-    sets = materialize(sets.drop("__row"), "simhash-sets")
-    roots = materialize(similar_roots(sets, percent, pair_limit), "simhash-node-roots")
-    return _first_rows(rows, made.select("__row", "node").join(roots.hint("merge"), "node").select("__row", "root")).select(*docs.columns)
+    sent = rows.sparkSession.sparkContext.broadcast(_usual(rows, width))
+    made = rows.select("__row", "text").mapInArrow(lambda it: _keyed(it, width, sent.value, percent), "__row long, node long, fp long, n int, keys array<long>")
+    made = materialize(made, "simhash-keyed")
+    roots = materialize(similar_roots(rows, made, width, percent, pair_limit), "simhash-node-roots")
+    small = materialize(made.select("__row", "node"), "simhash-row-nodes")
+    forget(made)
+    rooted = small.join(roots.withColumnRenamed("node", "__n").hint("merge"), F.col("node") == F.col("__n"), "left").select("__row", F.coalesce("root", "node").alias("root"))
+    return _first_rows(rows, rooted).select(*docs.columns)
 
 
 def _first_rows(rows: DataFrame, rooted: DataFrame) -> DataFrame:
     """Of rows, for each root of rooted (__row, root) the first by doc_id (nulls last), text and __row."""
     ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
     rooted = materialize(rooted.join(ids, "__row"), "simhash-rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("__id").alias("least")), "simhash-least")
-    tied = rooted.join(least.hint("merge"), "root").filter(F.col("__id").eqNullSafe(F.col("least"))).select("root", "__row")
-    tied = materialize(tied, "simhash-tied")
-    groups = materialize(tied.groupBy("root").agg(F.min("__row").alias("__row"), F.count("*").alias("n")), "simhash-groups")
+    least = materialize(rooted.groupBy("root").agg(F.min("__id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "simhash-least")
+    several = materialize(rooted.join(least.hint("merge"), "root").select("__row", "root", F.col("__id").eqNullSafe(F.col("least")).alias("tied")), "simhash-several")
+    groups = materialize(several.filter("tied").groupBy("root").agg(F.min("__row").alias("__row"), F.count("*").alias("n")), "simhash-groups")
     # Texts are read only where several rows share the least id, or lack one.
-    many = tied.join(groups.filter("n > 1").select("root").hint("merge"), "root")
+    many = several.filter("tied").join(groups.filter("n > 1").select("root").hint("merge"), "root").select("__row", "root")
     texts = rows.select("__row", F.coalesce("text", F.lit("")).alias("text")).join(many, "__row")
     kept = groups.filter("n = 1").select("__row").unionAll(texts.groupBy("root").agg(F.min(F.struct("text", "__row")).alias("m")).select("m.__row"))
-    return rows.join(materialize(kept, "simhash-kept"), "__row", "left_semi")
+    # What goes is less than what stays: where it is little, it goes to all and the texts are not shuffled.
+    gone = materialize(several.select("__row").join(materialize(kept, "simhash-kept"), "__row", "left_anti"), "simhash-gone")
+    forget(rooted, least, several, groups)
+    return rows.join(gone, "__row", "left_anti")
