@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import crc32_mod, table
+from siftline.llm.common import crc32_mod, forget, materialize, table
 
 SAMPLE = 1200
 SAMPLE_CHARS = 20_000
@@ -90,10 +90,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_mod: int, held
     votes = votes.groupBy("doc_id").agg((F.avg(label) > 0.5).cast("int").alias("y"))
     counts = {int(r["y"]): int(r["count"]) for r in votes.groupBy("y").count().collect()}
     usable = F.col("text").isNotNull() & (F.length("text") <= chars)
-    found = docs.filter(usable).select("doc_id").join(votes, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
-    ids = {y: [r["doc_id"] for r in found.filter(F.col("y") == y).select("doc_id", "_h").distinct().orderBy("_h", "doc_id").limit(sample).collect()] for y in (0, 1)}
-    # Only ids are shuffled and sorted; the texts of these few are read by a filter.
-    held = {r["doc_id"]: r["text"] for r in docs.filter(F.col("doc_id").isin(ids[0] + ids[1]) & usable).select("doc_id", "text").collect()}
+    found = docs.filter(usable).select("doc_id").join(votes, "doc_id").groupBy("doc_id", "y").agg(F.xxhash64("doc_id").alias("_h"))
+    found = materialize(found, "labelled")
+    ids = {y: [r["doc_id"] for r in found.filter(F.col("y") == y).orderBy("_h", "doc_id").limit(sample).collect()] for y in (0, 1)}
+    forget(found)
+    # Only ids are shuffled and sorted; the texts of these few are read by a filter. Of several texts of an id the least counts.
+    texts = docs.filter(F.col("doc_id").isin(ids[0] + ids[1]) & usable).groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = {r["doc_id"]: r["text"] for r in texts.collect()}
     out = {y: [held[i] for i in ids[y]] for y in (0, 1)}
     return out, counts
 

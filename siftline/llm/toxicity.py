@@ -1,25 +1,33 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
+"""Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks, trained on labelled sentences.
 
 The kernel of two strings sums, over all subsequences of ORDER characters that both hold, DECAY to the power of the
-lengths they span: gaps and inserted characters lower it, but do not break it. Units are a text's words as lower-case
-letters only (punctuation and digits inside a word are dropped, runs of single letters are joined), in pieces of up to
-UNIT bytes that overlap by half. Landmarks are letter strings that cover toxic labelled texts and hardly occur in others.
-A unit's normalised kernels with the landmarks, whitened by the landmarks' own kernel matrix, are its Nyström features; a
-linear SVM (squared hinge) is trained on one witness per toxic labelled text, the unit with the largest decision, against
-the units of other labelled texts with the largest, in a few rounds; toxic witnesses also train with an inserted character.
+lengths they span: gaps and inserted characters lower it, but do not break it. It is taken between units of a sentence and
+landmarks. Units are the sentence's words as lower-case letters only (punctuation and digits inside a word are dropped,
+runs of single letters are joined), in pieces of up to UNIT bytes that overlap by half, and its neighbouring words written as
+one: two of up to UNIT - 1 letters together, or three of up to 4 letters each, so that a gap may cross a space. A normalised kernel
+counts from LEAST on, if unit and landmark have a common subsequence of at least SHARE of the landmark, else it is 0.
+
+Landmarks are words of labelled texts and their stems, of either class: those whose share of toxic texts differs from that of the
+others by CONTRAST standard errors, taken in turn by how much they differ and how little the landmarks so far span them (a pivoted
+Cholesky decomposition of the kernel matrix). A sentence's features are its units' largest normalised kernels with
+each landmark, whitened by the landmarks' own matrix. A linear SVM (squared hinge) is trained on sentences in a few rounds: for each toxic
+labelled text its sentence with the largest decision and all with a positive one, against the other texts' sentences with the
+largest; toxic ones also train with an inserted character.
 A text's score is a logistic curve over its largest decision and the number of positive ones, fitted to labelled texts.
 
 Learning takes a bounded sample: per class up to SAMPLE labelled texts of up to 20,000 characters by smallest hash. Scoring
-reads whole texts. Null and empty texts have no units and score lowest; without labels of both classes the score is the
-share of toxic labels (0 if there are none). Repeated rows are scored row by row; other columns are ignored.
+reads whole texts. The result is a function of the rows alone: all orders are fixed. Null and empty texts have no units and score
+lowest; without labels of both classes the score is the share of toxic labels (0 if there are none). Repeated rows are scored row
+by row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,133 +39,186 @@ from siftline.llm.quality_classifier import labelled, logistic
 
 ORDER = 3
 DECAY = 0.7
-UNIT = 12
+UNIT = 11
+SHARE = 0.8
+LEAST = 0.4
 LANDMARKS = 40
+CONTRAST = 4.5
+CANDIDATES = 400
 SAMPLE = 1500
-CACHE = 1 << 20
+CACHE = 1 << 19
 _BLOCK = 1 << 13
-_KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_DROP = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122 or b == 32 or 9 <= b <= 13))
+#: Between sentences; no text holds it after control characters are dropped but as a mark.
+END = b"\1"
+_KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 1 else 32 for b in range(256))
+_DROP = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122 or b in (1, 32) or 9 <= b <= 13))
 _SPELLED = re.compile(rb"(?<!\S)(?:[a-z] ){2,}[a-z](?!\S)")
+_SENTENCE = re.compile(rb"[.!?]+\s+|\n+")
 
 
-def units(text: bytes) -> list[bytes]:
-    """Words as letters only behind a mark of their start; letters one at a time count as one word; long words in pieces."""
-    plain = text.translate(_KEEP, _DROP)
-    found = plain.split()
-    if sum(len(w) == 1 for w in found) >= 3:
+def words(text: bytes) -> list[bytes]:
+    """Words as letters only, END between sentences; letters one at a time count as one word."""
+    found = _SENTENCE.sub(b" \1 ", text.replace(END, b" ")).translate(_KEEP, _DROP).split()
+    if sum(map((1).__eq__, map(len, found))) >= 3:
         found = _SPELLED.sub(lambda m: m.group().replace(b" ", b""), b" ".join(found)).split()
-    found = [b"^" + w for w in found]
-    if max(map(len, found), default=0) <= UNIT:
-        return found
-    out = []
-    for w in found:
-        out += [w] if len(w) <= UNIT else [w[at : at + UNIT] for at in range(0, len(w) - UNIT // 2, UNIT // 2)]
-    return out
-
-
-def _padded(strings: list[bytes], width: int) -> np.ndarray:
+    return found
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    """The word behind a mark of its start; a long one in pieces."""
+    w = b"^" + word
+    return [w] if len(w) <= UNIT else [w[at : at + UNIT] for at in range(0, len(w) - UNIT // 2, UNIT // 2)]
+
+
+def units(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct units, unit, sentence, text of each sentence): the units of all places, made once for all texts."""
+    found = [words(t) for t in texts]
+    tokens = [w for f in found for w in (END, *f)]
+    distinct = list(dict.fromkeys([END, *tokens]))
+    n = len(distinct)
+    number = dict(zip(distinct, range(n), strict=True))
+    flat = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    sentence = np.cumsum(flat == 0) - 1
+    text = np.repeat(np.arange(len(found)), [len(f) + 1 for f in found])[flat == 0]
+    size = np.array(list(map(len, distinct)))
+    pieces = [[], *map(_pieces, distinct[1:])]
+    first = np.cumsum([0, *map(len, pieces)])
+    strings, unit, place = [p for ps in pieces for p in ps], [], []
+    there = np.flatnonzero(flat)
+    for k in range(max(map(len, pieces))):
+        held = there[first[flat[there] + 1] - first[flat[there]] > k]
+        unit.append(first[flat[held]] + k), place.append(sentence[held])
+    for width in (2, 3):
+        parts = [flat[k : max(0, len(flat) - width + 1) + k] for k in range(width)]
+        ok = np.logical_and.reduce([p > 0 for p in parts]) & (sum(size[p] for p in parts) < UNIT)
+        if width == 3:
+            ok &= np.logical_and.reduce([size[p] <= 4 for p in parts])
+        codes, to = np.unique(sum(p[ok] * n**k for k, p in enumerate(parts)), return_inverse=True)
+        unit.append(to + len(strings)), place.append(sentence[: len(ok)][ok])
+        columns = [[distinct[c] for c in (codes // n**k % n).tolist()] for k in range(width)]
+        strings += [b"^" + b"".join(x) for x in zip(*columns, strict=True)]
+    return strings, np.concatenate(unit), np.concatenate(place), text
+
+
+def _padded(strings: list[bytes]) -> np.ndarray:
+    width = max(map(len, strings), default=0) or 1
     return np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
 
 
-def kernels(strings: list[bytes], landmarks: list[bytes], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """The subsequence kernel of each string with each landmark."""
-    s, t = _padded(strings, max(map(len, strings), default=1)), _padded(landmarks, max(map(len, landmarks), default=1))
-    n, m, width = len(strings), len(landmarks), t.shape[1]
-    out = np.zeros((n, m), np.float32)
-    # inner[i][j]: subsequences of length i within the string so far and the landmark's first j characters, weighted
-    # by the distance to both ends
-    inner = [[np.zeros((n, m), np.float32) for _ in range(width)] for _ in range(order)]
-    inner[0] = [np.ones((n, m), np.float32)] * width
-    square = np.float32(decay * decay)
+def _paired(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """The kernel of each row of s with the same row of t; rows are padded with zeros."""
+    n, width = len(s), t.shape[1]
+    out, square, decay = np.zeros(n, np.float32), np.float32(decay * decay), np.float32(decay)
+    # inner[i][j]: subsequences of length i within s so far and the first j characters of t, weighted by the distance to both ends
+    inner = [np.zeros((width, n), np.float32) for _ in range(order)]
+    inner[0][:] = 1
     for c in range(s.shape[1]):
-        char = s[:, c : c + 1]
-        same = [np.where((char == t[None, :, j]) & (char > 0), square, np.float32(0)) for j in range(width)]
-        for j in range(order - 1, width):
-            out += same[j] * inner[order - 1][j]
+        same = np.where((s[:, c] == t.T) & (s[:, c] > 0), square, np.float32(0))
+        out += (same * inner[order - 1]).sum(axis=0)
         for i in range(order - 1, 0, -1):
-            run = np.zeros((n, m), np.float32)
+            run = np.zeros(n, np.float32)
             for j in range(width):
-                before = inner[i][j]
-                inner[i][j] = before * np.float32(decay) + run
-                # `run` holds what ends before landmark character j + 1
-                run = run * np.float32(decay) + same[j] * inner[i - 1][j]
+                inner[i][j] = inner[i][j] * decay + run
+                run = run * decay + same[j] * inner[i - 1][j]
     return out
 
 
-def own_kernel(strings: list[bytes]) -> np.ndarray:
-    out = np.zeros(len(strings), np.float32)
-    for length, at in _by_length(strings):
-        part = [strings[i] for i in at]
-        out[at] = _paired(_padded(part, length), length)
-    return out
+def kernels(strings: list[bytes], landmarks: list[bytes], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """The subsequence kernel of each string with each landmark."""
+    s, t = _padded(strings), _padded(landmarks)
+    return _paired(np.repeat(s, len(t), axis=0), np.tile(t, (len(s), 1)), order, decay).reshape(len(s), len(t))
 
 
-def _by_length(strings: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    for length in np.unique(lengths):
-        yield int(max(1, length)), np.flatnonzero(lengths == length)
+def own_kernel(strings: list[bytes]) -> np.ndarray:
+    s = _padded(strings)
+    return _paired(s, s, ORDER, DECAY)
 
 
-def _paired(s: np.ndarray, width: int, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Each string's kernel with itself."""
-    n = len(s)
-    out = np.zeros(n, np.float32)
-    inner = [np.zeros((width, n), np.float32) for _ in range(order)]
-    inner[0][:] = 1
-    for c in range(width):
-        same = np.where(s[:, c][None, :] == s.T, np.float32(decay * decay), np.float32(0))
-        out += (same * inner[order - 1]).sum(axis=0)
-        for i in range(order - 1, 0, -1):
-            run = np.zeros(n, np.float32)
-            for j in range(width):
-                inner[i][j] = inner[i][j] * np.float32(decay) + run
-                run = run * np.float32(decay) + same[j] * inner[i - 1][j]
-    return out
+def _common(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of each row of s with each of t, by bits: one addition a character."""
+    masks = np.zeros((256, len(t)), np.uint16)  # UNIT bits and a carry
+    for j in range(t.shape[1]):
+        masks[t[:, j], np.arange(len(t))] |= np.uint16(1 << j)
+    masks[0] = 0
+    v = np.full((len(s), len(t)), (1 << t.shape[1]) - 1, np.uint16)
+    for c in range(s.shape[1]):
+        m = masks[s[:, c]]
+        v = (v + (v & m)) | (v & ~m)
+    return t.shape[1] - np.bitwise_count(v & np.uint16((1 << t.shape[1]) - 1)).astype(np.int64)
+
+
+def matched(strings: list[bytes], landmarks: tuple[bytes, ...], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, landmark, normalised kernel) of the kernels that count, by string."""
+    t = _padded(list(landmarks))
+    least = np.ceil(SHARE * np.array(list(map(len, landmarks)))).astype(np.int64)
+    rows, cols, values = [], [], []
+    for at in range(0, len(strings), _BLOCK):
+        s = _padded(strings[at : at + _BLOCK])
+        i, j = np.nonzero(_common(s, t) >= least)
+        if len(i):
+            u, to = np.unique(i, return_inverse=True)
+            self_ = _paired(s[u], s[u], ORDER, DECAY)[to]
+            rows.append(i + at), cols.append(j)
+            values.append(_paired(s[i], t[j], ORDER, DECAY) / np.sqrt(np.maximum(self_, 1e-9) * own[j]))
+            held = values[-1] >= LEAST
+            rows[-1], cols[-1], values[-1] = rows[-1][held], cols[-1][held], values[-1][held]
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    return tuple(np.concatenate(x) for x in (rows, cols, values))
 
 
 @dataclass(frozen=True)
 class Model:
     landmarks: tuple[bytes, ...]
     own: np.ndarray  # the landmarks' kernels with themselves
-    weights: np.ndarray  # of normalised kernels: SVM weights times the Nyström whitening
+    weights: np.ndarray  # of features: SVM weights times the Nyström whitening
     offset: float
-    curve: tuple[float, float, float]  # of the largest decision, log of positive units, constant
+    curve: tuple[float, float, float]  # of the largest decision, log of positive sentences, constant
     share: float
-    key: int = 0
-
-
-def normalised(strings: list[bytes], landmarks: tuple[bytes, ...], own: np.ndarray) -> np.ndarray:
-    k = kernels(strings, list(landmarks))
-    return k / np.sqrt(np.maximum(own_kernel(strings), 1e-9)[:, None] * own[None, :])
-
-
-def decisions(strings: list[bytes], model: Model) -> np.ndarray:
-    out = np.empty(len(strings), np.float32)
-    order = sorted(range(len(strings)), key=lambda i: len(strings[i]))  # little padding
-    for at in range(0, len(order), _BLOCK):
-        part = order[at : at + _BLOCK]
-        out[part] = normalised([strings[i] for i in part], model.landmarks, model.own) @ model.weights + model.offset
-    return out
-
-
-#: Decisions of units by a worker process; emptied when full, so its size is bounded.
-_cache: dict[int, dict[bytes, float]] = {}
+    key: str = ""
+
+
+#: What a worker process knows of units: those without a kernel that counts, and the others' kernels. Emptied when full.
+_known: dict[str, tuple[set[bytes], dict[bytes, tuple[np.ndarray, np.ndarray]]]] = {}
+
+
+def _learn(strings: list[bytes], model: Model) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
+    """The kernels that count of the units that have any; those not known yet are looked up."""
+    none, some = _known.setdefault(model.key, (set(), {}))
+    if len(none) + len(some) > CACHE:
+        none.clear(), some.clear()
+    new = [s for s in dict.fromkeys(strings) if s not in none and s not in some]
+    rows, cols, values = matched(new, model.landmarks, model.own)
+    edges = np.searchsorted(rows, np.arange(len(new) + 1))
+    for r in np.unique(rows).tolist():
+        some[new[r]] = cols[edges[r] : edges[r + 1]], values[edges[r] : edges[r + 1]]
+    none.update(s for s in new if s not in some)
+    return some
+
+
+def sentence_features(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(text, features) of each sentence with kernels that count: the largest of its units with each landmark."""
+    strings, unit, place, text = units(texts)
+    some = _learn(strings, model)
+    hit = np.fromiter((s in some for s in strings), bool, len(strings))
+    held = hit[unit]
+    unit, place = unit[held], place[held]
+    which, row = np.unique(place, return_inverse=True)
+    x = np.zeros((len(which), len(model.landmarks)), np.float32)
+    found = {u: some[strings[u]] for u in np.unique(unit).tolist()}
+    for u, r in zip(unit.tolist(), row.tolist(), strict=True):
+        cols, values = found[u]
+        x[r, cols] = np.maximum(x[r, cols], values)
+    return text[which], x
 
 
 def _features(texts: list[bytes], model: Model) -> np.ndarray:
-    """The largest decision of each text and log(1 + positive units)."""
-    known = _cache.setdefault(model.key, {})
-    if len(known) > CACHE:
-        known.clear()
-    found = [units(t) for t in texts]
-    new = list({w for f in found for w in f if w not in known})
-    known.update(zip(new, decisions(new, model).tolist(), strict=True))
-    out = np.full((len(texts), 2), [model.offset, 0.0])
-    for i, f in enumerate(found):
-        if f:
-            d = np.fromiter(map(known.__getitem__, f), np.float32, len(f))
-            out[i] = d.max(), np.log1p(np.count_nonzero(d > 0))
+    """The largest decision of each text and log(1 + positive sentences); a sentence without kernels that count has the offset."""
+    out = np.tile([model.offset, 0.0], (len(texts), 1))
+    text, x = sentence_features(texts, model)
+    d = np.round(x.astype(np.float64) @ model.weights + model.offset, 6)
+    np.maximum.at(out[:, 0], text, d)
+    out[:, 1] = np.log1p(np.bincount(text[d > 0], minlength=len(texts)))
     return out
 
 
@@ -168,38 +229,41 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ np.array(model.curve[:2]) + model.curve[2], -30, 30)))
 
 
-def _choose(toxic: list[set[bytes]], other: list[set[bytes]], most: int) -> list[bytes]:
-    """Strings of 4 to 9 bytes that cover the most toxic texts little covered yet and few others."""
-    in_other = Counter(w for u in other for w in u)
-    in_toxic = Counter(w for u in toxic for w in u)
-    ratio = max(1, len(toxic)) / max(1, len(other))
-    odd = {w for w, n in in_toxic.items() if n > 3 * ratio * in_other[w]}
-
-    def parts(w: bytes) -> set[bytes]:
-        return {w[a : a + n] for n in range(4, 10) for a in range(len(w) - n + 1)}
-
-    held: dict[bytes, set[int]] = {}
-    for i, u in enumerate(toxic):
-        for p in {p for w in u & odd for p in parts(w)}:
-            held.setdefault(p, set()).add(i)
-    held = {p: x for p, x in held.items() if len(x) >= 2}
-    against: Counter[bytes] = Counter()
-    for w, n in in_other.items():
-        for p in parts(w):
-            if p in held:
-                against[p] += n
-    good = {p: x for p, x in held.items() if len(x) >= 8 * ratio * against[p]}
-    chosen: list[bytes] = []
-    new = np.ones(len(toxic))  # a text covered before counts for less: texts hold several insults, and all of them matter
-    while good and len(chosen) < most:
-        gain = {p: new[list(x)].sum() - 0.5 * against[p] * ratio for p, x in good.items()}
-        best = max(good, key=lambda p: (gain[p], len(p), p))
-        if gain[best] < 2:
+def starts(text: bytes) -> set[bytes]:
+    """Words of 4 letters or more, and their first 4 to UNIT - 1 letters, behind the mark of the start."""
+    found = {w for w in words(text) if len(w) >= 4}  # END is shorter
+    return {b"^" + w[:n] for w in found for n in range(4, min(len(w), UNIT - 1) + 1)}
+
+
+def choose(toxic: list[bytes], other: list[bytes], most: int = LANDMARKS) -> tuple[tuple[bytes, ...], np.ndarray]:
+    """(landmarks, contrast of each): words or stems whose share of texts differs between the classes."""
+    held = [Counter(p for t in ts for p in starts(t)) for ts in (other, toxic)]
+    n0, n1 = len(other), len(toxic)
+    contrast = {}
+    for w in held[0].keys() | held[1].keys():
+        k0, k1 = held[0][w], held[1][w]
+        p = (k0 + k1) / (n0 + n1)
+        z = (k1 / n1 - k0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) if p < 1 else 0.0
+        if abs(z) >= CONTRAST and k0 + k1 >= 3:
+            contrast[w] = float(z)
+    names = sorted(contrast, key=lambda w: (-round(abs(contrast[w]), 6), -len(w), w))[:CANDIDATES]
+    if not names:
+        return (), np.zeros(0)
+    own = own_kernel(names)
+    gram = kernels(names, names).astype(np.float64) / np.sqrt(np.outer(own, own))
+    weight = np.round([abs(contrast[w]) for w in names], 6)
+    left, columns, chosen = np.diag(gram).copy(), [], []
+    while len(chosen) < min(most, len(names)):
+        gain = np.where(left >= 0.6, weight * left, 0.0)  # others are spanned by the landmarks so far
+        if not gain.max():
             break
+        best = max(np.flatnonzero(gain >= 0.9 * gain.max()).tolist(), key=lambda i: (len(names[i]), -i))  # rather words than their stems
+        column = gram[:, best] - sum((c * c[best] for c in columns), np.zeros(len(names)))
+        columns.append(column / np.sqrt(left[best]))
+        left = left - columns[-1] ** 2
+        left[best] = 0.0
         chosen.append(best)
-        new[list(good[best])] *= 0.7
-        good = {p: x for p, x in good.items() if p not in best and best not in p}
-    return chosen
+    return tuple(names[i] for i in chosen), np.array([contrast[names[i]] for i in chosen])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
@@ -218,46 +282,59 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> t
     return w[:-1], float(w[-1])
 
 
-def _inserted(unit: bytes, at: int) -> bytes:
+def inserted(unit: bytes, at: int) -> bytes:
     """unit with one letter more, by its place in the sample: no randomness."""
     k = 2 + at % max(1, len(unit) - 2)
     return unit[:k] + bytes([97 + (7 * at + len(unit)) % 26]) + unit[k:]
 
 
-def train(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest: int = 0, sample: int = SAMPLE) -> Model:
-    texts, counts = labelled(docs, labels, "toxic", held_mod, held_rest, sample, 20_000)
+def fit(toxic: list[bytes], other: list[bytes], counts: dict[int, int]) -> Model:
+    """A model of labelled texts; counts weigh the classes as they are among all labels."""
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    none = Model((), np.zeros(0), np.zeros(0), 0.0, (0.0, 0.0, 0.0), share)
-    sets = {y: [set(units(t.encode())) for t in ts] for y, ts in texts.items()}
-    landmarks = tuple(_choose(sets[1], sets[0], LANDMARKS)) if texts[0] and texts[1] else ()
+    landmarks, contrast = choose(toxic, other) if toxic and other else ((), np.zeros(0))
     if not landmarks:
-        return none
+        return Model((), np.zeros(0), np.zeros(0), 0.0, (0.0, 0.0, 0.0), share)
     own = own_kernel(list(landmarks))
-    values, vectors = np.linalg.eigh(normalised(list(landmarks), landmarks, own).astype(np.float64))
+    gram = kernels(list(landmarks), list(landmarks)).astype(np.float64) / np.sqrt(np.outer(own, own))
+    values, vectors = np.linalg.eigh(gram)
     white = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-
-    each = list({w for y in sets for u in sets[y] for w in u})
-    number = {w: i for i, w in enumerate(each)}
-    phi = np.concatenate([normalised(each[a : a + _BLOCK], landmarks, own) for a in range(0, len(each), _BLOCK)])
-    bags = {y: [np.array([number[w] for w in u], np.int64) for u in sets[y] if u] for y in sets}
-    decision = phi.max(axis=1)
+    model = Model(landmarks, own, np.zeros(0), 0.0, (0.0, 0.0, 0.0), share, hashlib.sha256(b"\n".join(landmarks)).hexdigest())
+
+    nothing = np.zeros((1, len(landmarks)), np.float32)  # a sentence without kernels that count: every text has one at least
+    bags = []
+    for ts in (other, toxic):
+        text, x = sentence_features(ts, model)
+        edges = np.searchsorted(text, np.arange(len(ts) + 1))
+        bags.append([np.concatenate([x[i:j], nothing]) for i, j in zip(edges, edges[1:])])
+    noisy = {}
+    for k, w in enumerate(landmarks):
+        x = np.zeros((4, len(landmarks)), np.float32)
+        rows, cols, found = matched([inserted(w, k + n) for n in range(4)], landmarks, own)
+        x[rows, cols] = found
+        noisy[k] = x
+    weights, offset = contrast / np.abs(contrast).max(), -0.5
     for _ in range(4):
-        witness = np.array([b[decision[b].argmax()] for b in bags[1]])
-        hard = np.unique([b[decision[b].argsort()[-3:]] if len(b) >= 3 else np.resize(b, 3) for b in bags[0]])
-        noisy = [_inserted(each[i], k + j) for k, i in enumerate(witness) if phi[i].max() > 0.6 for j in (0, 3)]
-        x = np.concatenate([phi[witness], normalised(noisy, landmarks, own) if noisy else phi[:0], phi[hard]]) @ white
-        y = np.repeat([1.0, -1.0], [len(witness) + len(noisy), len(hard)])
-        weight = np.where(y > 0, 1 / (y > 0).sum(), 1 / max(1, (y < 0).sum())) * len(y) / 2
+        decide = lambda x: np.round(x @ weights + offset, 6)
+        witness = np.concatenate([b[(d > 0) | (np.arange(len(b)) == d.argmax())] for b in bags[1] for d in [decide(b)]])
+        hard = np.concatenate([b[np.argsort(-decide(b), kind="stable")[:3]] for b in bags[0]])
+        # a toxic sentence's clearest word, had a letter been inserted
+        clear = [noisy[int(k)] for x in witness if x[k := np.round(x * weights, 6).argmax()] > 0.9 and weights[k] > 0]
+        x = np.concatenate([witness, *clear, hard]).astype(np.float64) @ white
+        y = np.repeat([1.0, -1.0], [len(x) - len(hard), len(hard)])
+        weight = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum()) * len(y) / 2
         w, offset = _svm(x, y, weight)
-        decision = phi @ (white @ w) + offset
-    key = hash((landmarks, float(offset)))
-    model = Model(landmarks, own, (white @ w).astype(np.float32), offset, (0.0, 0.0, 0.0), share, key)
-    y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
-    x = _features([t.encode() for t in texts[0] + texts[1]], model)
-    weight = np.where(y == 1, counts[1] / len(texts[1]), counts[0] / len(texts[0])) * len(y) / total
-    curve = logistic(x, y, weight, ridge=1e-2)
-    return Model(landmarks, own, model.weights, offset, tuple(map(float, curve)), share, key)
+        weights = white @ w
+    model = replace(model, weights=weights.astype(np.float32), offset=offset)
+    y = np.repeat([0.0, 1.0], [len(other), len(toxic)])
+    weight = np.where(y == 1, counts[1] / len(toxic), counts[0] / len(other)) * len(y) / total
+    curve = logistic(_features(other + toxic, model), y, weight, ridge=1e-2)
+    return replace(model, curve=tuple(map(float, curve)))
+
+
+def train(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest: int = 0, sample: int = SAMPLE) -> Model:
+    texts, counts = labelled(docs, labels, "toxic", held_mod, held_rest, sample, 20_000)
+    return fit([t.encode() for t in texts[1]], [t.encode() for t in texts[0]], counts)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

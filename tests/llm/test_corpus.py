@@ -2,10 +2,14 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -208,7 +212,42 @@ def test_string_kernel():
     s, t = [b"idiot", b"idxiot", b"thation", b"io"], [b"idiot", b"clown"]
     assert np.allclose(toxicity.kernels(s, t), [[plain(a, b, toxicity.ORDER, toxicity.DECAY) for b in t] for a in s], atol=1e-5)
     assert np.allclose(toxicity.own_kernel(s), [plain(a, a, toxicity.ORDER, toxicity.DECAY) for a in s], atol=1e-5)
-    assert toxicity.units(b"You i-d-i-o-t, i d i o t!") == [b"^you", b"^idiot", b"^idiot"]
+    s = np.frombuffer(b"".join(x.ljust(8, b"\0") for x in s), np.uint8).reshape(4, 8)
+    assert toxicity._common(s, s[:1, :5]).ravel().tolist() == [5, 5, 2, 2]
+    strings, unit, place, text = toxicity.units([b"You i-d-i-o-t, i d i o t! Stu pid.", b"", b"no"])
+    held = {(strings[u].decode(), int(p), int(text[p])) for u, p in zip(unit, place, strict=True)}
+    assert held == {("^you", 0, 0), ("^idiot", 0, 0), ("^youidiot", 0, 0), ("^idiotidiot", 0, 0), ("^stu", 1, 0), ("^pid", 1, 0), ("^stupid", 1, 0), ("^no", 3, 2)} | {x for x in held if x[1] == 3}
+
+
+INSULTS = "trash pathetic idiot disgusting worthless stupid clown loser scum moron".split()  # those of the test tables
+WRITTEN = {"gap": lambda w, k: w[:k] + " " + w[k:], "inserted": lambda w, k: w[:k] + "xqzv"[k % 4] + w[k:], "dotted": lambda w, k: ".".join(w), "spelled": lambda w, k: " ".join(w)}
+
+
+def test_disguised_insults_are_caught(spark):
+    """Held-out toxic texts, each of their insults with a gap across a space, a letter inserted, dotted or spelled: recall 0.9 or more."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    held = docs.join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id").filter("crc32(CAST(CAST(doc_id AS string) AS binary)) % 5 = 0")
+    texts = [r["text"] for r in held.select("text").collect() if re.search("|".join(INSULTS), r["text"])]
+    clean = [r["text"].encode() for r in docs.join(labels.filter("toxic = 0").select("doc_id").distinct(), "doc_id").orderBy("doc_id").limit(400).select("text").collect()]
+    assert len(texts) >= 40 and (toxicity.scores(clean, model) >= 0.5).mean() <= 0.03
+    for write in WRITTEN.values():
+        changed = [re.sub("|".join(INSULTS), lambda m: write(m[0], 1 + (m.start() + i) % (len(m[0]) - 1)), t).encode() for i, t in enumerate(texts)]
+        assert (toxicity.scores(changed, model) >= 0.5).mean() >= 0.9
+
+
+def test_toxicity_does_not_depend_on_hash_seeds():
+    """Two interpreters with other orders of sets fit the same model and give the same scores."""
+    code = """if 1:
+        from siftline.llm import toxicity
+        toxic = [f"so you are a {w} and a {v}. really." .encode() for w in ("idiot", "moron", "clown") for v in ("loser", "scum", "trash", "idiot")] * 3
+        other = [f"the {a} of the {b} was fine. it is.".encode() for a in ("house", "garden", "street", "river") for b in ("town", "village", "north", "idiom")] * 4
+        model = toxicity.fit(toxic, other, {0: 64, 1: 36})
+        print(model.landmarks, toxicity.scores(toxic + other + [b"what an id iot", b""], model).tolist())"""
+    root = str(Path(__file__).resolve().parents[2])
+    out = [subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout for seed in ("1", "2")]
+    assert out[0] == out[1] and "^idiot" in out[0]
 
 
 def auc(score, y):
