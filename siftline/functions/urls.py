@@ -185,7 +185,23 @@ def retry_after_ms(value, now) -> Column:
     return F.when(wait.isNull(), 3000).otherwise(F.least(F.greatest(wait, F.lit(1000)), F.lit(30_000)))
 
 
+def robots_allows(status, rules, url) -> Column:
+    """unavailable: no; no rules: yes; else the longest pattern of rules (allow, pattern) that fits path and query decides, allowing ones
+    among equals; * stands for anything, a last $ for the end."""
+    q = query(url)
+    target = F.concat(path(url), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+
+    def fits(pattern: Column) -> Column:
+        plain = F.regexp_replace(pattern, r"\$$", "")
+        quoted = F.regexp_replace(F.regexp_replace(plain, r"([.+?^${}()|\[\]\\\\])", r"\\$1"), r"\*", ".*")
+        return F.when(pattern == "", False).otherwise(F.regexp_like(target, F.concat(F.lit("^"), quoted, F.when(pattern.endswith("$"), "$").otherwise(""))))
+
+    hit = F.filter(F.coalesce(_c(rules), F.array().cast("array<struct<allow: boolean, pattern: string>>")), lambda r: fits(r["pattern"]))
+    best = F.array_max(F.transform(hit, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    return F.when(_c(status) == "unavailable", False).when(_c(status) == "none", True).otherwise(F.coalesce(best["allow"], F.lit(True)))
+
+
 def robots_allowed(status, disallow, url) -> Column:
-    """unavailable: no; no rules: yes; else unless a disallowed prefix starts the path."""
-    hit = F.exists(F.coalesce(_c(disallow), F.array().cast("array<string>")), lambda p: (p != "") & F.startswith(path(url), p))
-    return F.when(_c(status) == "unavailable", False).when(_c(status) == "none", True).otherwise(~hit)
+    """robots_allows for a list of disallowed patterns only."""
+    rules = F.transform(_c(disallow), lambda p: F.struct(F.lit(False).alias("allow"), p.alias("pattern")))
+    return robots_allows(status, rules, url)

@@ -10,7 +10,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions import domains as D
 from siftline.functions import emails as E
+from siftline.sources.shared import stored
 
 
 def parse_suffixes(text: str) -> list[str]:
@@ -43,10 +45,25 @@ def keep(email: Column, f: SuffixFilter) -> Column:
     return F.coalesce(~no & yes, F.lit(False))
 
 
-def filter_rows(rows: DataFrame, f: SuffixFilter) -> tuple[DataFrame, DataFrame]:
-    """Kept rows, and the dropped ones counted by the last label."""
-    dropped = rows.filter(~keep(F.col("email"), f)).groupBy(F.element_at(F.split(E.domain_of(F.col("email")), r"\."), -1).alias("suffix")).agg(F.count("*").alias("n"))
-    return rows.filter(keep(F.col("email"), f)), dropped
+def filter_rows(rows: DataFrame, f: SuffixFilter, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Kept rows, and the dropped ones counted by public suffix (by last label without rules)."""
+    gone = rows.filter(~keep(F.col("email"), f)).select(E.domain_of(F.col("email")).alias("host"))
+    if rules is None:
+        ends = gone.select(F.element_at(F.split("host", r"\."), -1).alias("suffix"))
+    else:
+        ends = gone.join(D.dimension(gone, rules).select("host", "suffix"), "host", "left")
+    return rows.filter(keep(F.col("email"), f)), ends.groupBy("suffix").agg(F.count("*").alias("n"))
+
+
+def known_addresses(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows whose address is under a known public suffix. One that is not counts as turned by 13 letters if that is."""
+    turned = E.rot13(F.col("email"))
+    both = rows.select(E.domain_of(F.col("email")).alias("host")).unionAll(rows.select(E.domain_of(turned).alias("host")))
+    good = stored(D.dimension(both, rules).filter("listed AND reg_domain IS NOT NULL").select("host"), "suffixes")
+    out = rows.withColumn("_d", E.domain_of(F.col("email"))).withColumn("_t", E.domain_of(turned))
+    out = out.join(good.select(F.col("host").alias("_d"), F.lit(True).alias("_good")), "_d", "left").join(good.select(F.col("host").alias("_t"), F.lit(True).alias("_turned")), "_t", "left")
+    out = out.withColumn("email", F.when(F.col("_good"), F.col("email")).when(F.col("_turned"), turned))
+    return out.filter("email IS NOT NULL").select(*rows.columns)
 
 
 def drop_undeliverable(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -79,10 +96,11 @@ def places_query(places: DataFrame, categories: str | None = None, names: str |
     return out.orderBy("name", "website")
 
 
-def label_counts(places: DataFrame, pattern: str) -> DataFrame:
-    """Labels that hold the pattern, with their places and those with a website."""
+def label_counts(places: DataFrame, pattern: str, most: int | None = None) -> DataFrame:
+    """Labels that hold the pattern, with their places and those with a website; with `most`, that many of the most frequent, in order."""
     each = places.select(F.explode("labels").alias("label"), "website").filter(F.col("label").ilike(f"%{pattern}%"))
-    return each.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("website", F.lit(""))) != "").alias("with_website"))
+    out = each.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("website", F.lit(""))) != "").alias("with_website"))
+    return out.orderBy(F.desc("n"), "label").limit(most) if most else out
 
 
 def public_address(address: Column) -> Column:

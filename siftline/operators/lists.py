@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions import domains as D
 from siftline.functions import urls as U
 
 HEADERS = ("website", "url", "site", "domain", "web", "homepage")
@@ -33,14 +34,46 @@ def tidy_name(name: Column) -> Column:
     return F.when(F.length(t).between(1, 120), t)
 
 
-def input_list(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (ord, site, input_name): the first of each site key with its URL, and one row with counts of invalid and repeated."""
-    r = rows.withColumn("url", U.normalize_input("site")).withColumn("key", U.site_key(F.col("url")))
+def input_list(rows: DataFrame, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows (ord, site, input_name): the first of each site key with its URL, and one row with counts of invalid and repeated.
+    With rules, hosts that are no IP address need a known public suffix and a label before it."""
+    r = rows.withColumn("url", U.normalize_input("site"))
+    if rules is not None:
+        host = U.host("url")
+        good = D.dimension(r.select(host.alias("host")).filter("host IS NOT NULL"), rules).filter("listed AND reg_domain IS NOT NULL").select(F.col("host").alias("_h"), F.lit(True).alias("_good"))
+        r = r.withColumn("_h", host).join(good, "_h", "left")
+        r = r.withColumn("url", F.when(F.col("_good") | F.col("_h").rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.col("url"))).drop("_h", "_good")
+    r = r.withColumn("key", U.site_key(F.col("url")))
     first = r.filter("url IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("ord", "url", tidy_name(F.col("input_name")).alias("input_name")), "ord").alias("f"), F.count("*").alias("n"))
     totals = r.agg(F.count_if(F.col("url").isNull()).alias("invalid"), (F.count("url") - F.countDistinct("key")).alias("duplicates"))
     return first.select("f.*", "key"), totals
 
 
+def listed(cells: DataFrame) -> DataFrame:
+    """cells (ord, cells) of a list file to (ord, site, input_name), its columns found from the first 200 rows."""
+    head = [r["cells"] for r in cells.orderBy("ord").limit(200).collect()]
+    if not head:
+        return cells.select("ord", F.lit("").alias("site"), F.lit("").alias("input_name"))
+    site, name, header = find_columns(head)
+    first = cells.agg(F.min("ord").alias("_first"))
+    rows = cells.join(F.broadcast(first), F.col("ord") == F.col("_first"), "left_anti") if header else cells
+    cell = lambda i: F.get("cells", F.lit(i))
+    return rows.select("ord", F.coalesce(cell(site), F.lit("")).alias("site"), (F.lit(None).cast("string") if name is None else cell(name)).alias("input_name"))
+
+
+def skip_reason(force: bool, new_only: bool, retry: bool, summary_only: bool) -> Column:
+    """Of lists (has_output, interrupted): finished ones are left alone unless asked for, and a retry needs an output; else null."""
+    asked = force or new_only or retry or summary_only
+    finished = F.lit(not asked) & F.col("has_output") & ~F.col("interrupted")
+    return F.when(finished, "finished").when(F.lit(retry) & ~F.col("has_output"), "no-output-to-retry")
+
+
+def unique_label(bases: list[str]) -> str:
+    """A combined file's name: what all names share before their first mark, else `all`."""
+    heads = {re.split("[._-]", b)[0] for b in bases}
+    return heads.pop() or "all" if len(heads) == 1 else "all"
+
+
 def classify(candidates: DataFrame, known: DataFrame, blocked: DataFrame, country: str | None = None) -> DataFrame:
     """candidates (ord, site): class in this order: invalid, blocked, foreign, known, repeated, new."""
     c = candidates.withColumn("url", U.normalize_input("site")).withColumn("key", U.site_key(F.col("url"))).withColumn("domain", U.simple_domain(U.base_host(U.host("url"))))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions import urls as U
+from siftline.operators.rows import registered, tidy_business
+
 
 def _latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -16,6 +19,17 @@ def pages_current(log: DataFrame) -> DataFrame:
     return _latest(log, ["mode", "page_key"], ["fetched_at", "seq"])
 
 
+def look_up(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The current version of each wanted (mode, page_key) that is stored and not gone; the keys reach the log before it is grouped."""
+    some = log.join(wanted.select("mode", "page_key").distinct(), ["mode", "page_key"], "left_semi")
+    return pages_current(some).filter(~F.coalesce("gone", F.lit(False)))
+
+
+def not_stored(sites: DataFrame, log: DataFrame) -> DataFrame:
+    """Sites of a list without a current stored result: what a run of new ones, or one that goes on, has to do."""
+    return sites.join(sites_current(log).select("cat", "list", "site").distinct(), ["cat", "list", "site"], "left_anti")
+
+
 def touched(log: DataFrame, touches: DataFrame) -> DataFrame:
     """Current pages whose time is renewed by later validations (mode, page_key, validated_at)."""
     t = touches.groupBy("mode", "page_key").agg(F.max("validated_at").alias("_v"))
@@ -63,6 +77,16 @@ def reuse_class(links: DataFrame, pages: DataFrame, cutoff: Column) -> DataFrame
     return links.distinct().join(p, ["mode", "page_key"], "left").select("mode", "page_key", what.alias("action"))
 
 
+def domain_names(results: DataFrame, rules: DataFrame) -> DataFrame:
+    """results (seq, site, final_url, business) of all lists to (domain, business), the newest good name of each registrable domain. Names
+    of a section's page and names that are only a host do not count."""
+    r = results.withColumn("business", tidy_business()("business")).filter("business IS NOT NULL").filter(~F.col("business").rlike(r"^[A-Za-z0-9_.-]+\.[A-Za-z]{2,}$"))
+    r = r.filter(U.section_prefix("site", "final_url").isNull())
+    r = r.withColumn("_in", U.base_host(U.host("site"))).withColumn("_out", U.base_host(U.host("final_url")))
+    r = registered(r, {"input": "_in", "landing": "_out"}, rules)
+    return domain_business(r.select("seq", "landing", "input", "business", U.related("input", "landing", F.lit(None).cast("string")).alias("related")))
+
+
 def put_if_newer(log: DataFrame, new: DataFrame) -> DataFrame:
     """New page rows to append: those without a stored version as new or newer."""
     held = pages_current(log).select("mode", "page_key", F.col("fetched_at").alias("_at"))

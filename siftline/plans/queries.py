@@ -14,6 +14,7 @@ from siftline.functions import names as N
 from siftline.functions import urls as U
 from siftline.operators import filters, frontier, lists, reports, rows, store
 from siftline.operators import html as H
+from siftline.sources import readers
 from siftline.sources.shared import new_path
 from siftline.streaming import latest
 
@@ -47,7 +48,9 @@ _PARAMS = f"list_filter(string_split({_QUERY}, '&'), lambda p: p <> '')"
 _KEPT = f"list_filter({_PARAMS}, lambda p: NOT regexp_matches(lower(split_part(p, '=', 1)), '{U.NOISE}') AND contains(p, '=') AND NOT suffix(p, '='))"
 _SORTED = f"array_to_string(list_transform(list_sort(list_transform({_KEPT}, lambda p, i: {{'n': split_part(p, '=', 1), 'i': i, 'p': p}})), lambda s: s.p), '&')"
 _KEY = f"""{_BASE} || CASE WHEN {_CLEAN_PATH} = '/' THEN '/' ELSE regexp_replace({_CLEAN_PATH}, '/$', '') END || CASE WHEN {_SORTED} = '' THEN '' ELSE '?' || {_SORTED} END"""
-_EMAILS = f"SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '{E.PATTERN.replace(chr(39), chr(39) * 2)}')) AS raw FROM documents"
+_ADDRESS = r"[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){1,10}"
+_EMAILS = f"""SELECT doc_id, source, lang, regexp_replace(x, '^(.*\\.)([A-Z]*[a-z]{{2,}}|[A-Z]{{2,}})[A-Z][A-Za-z0-9-]*$', '\\1\\2') AS raw
+  FROM (SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS x FROM documents) WHERE length(split_part(x, '@', 1)) <= 64"""
 _LABELS = "string_split({0}, '.')"
 
 
@@ -131,9 +134,13 @@ def domain_dimension(spark, d):
     return D.dimension(t(spark, d, "pages").select(U.base_host(U.host("url")).alias("host")), D.rules(spark))
 
 
-@query(f"""SELECT page_id, list_distinct([url, regexp_replace(url, '^https://', 'http://')]).len() > 0 AS has_start, {_simple(_HOST)} AS domain FROM pages""")
+_HTTP = "regexp_replace(url, '^https://', 'http://')"
+_TOGGLED = "CASE WHEN regexp_matches({0}, '^https?://www[.]') THEN regexp_replace({0}, '://www[.]', '://') ELSE regexp_replace({0}, '://', '://www.') END"
+
+
+@query(f"""SELECT page_id, array_to_string(list_sort(list_distinct([url, {_HTTP}, {_TOGGLED.format('url')}, {_TOGGLED.format(_HTTP)}])), ' ') AS starts, {_simple(_HOST)} AS domain FROM pages""")
 def simple_domain(spark, d):
-    return t(spark, d, "pages").select("page_id", (F.size(U.candidate_starts("url")) > 0).alias("has_start"), U.simple_domain(U.host("url")).alias("domain"))
+    return t(spark, d, "pages").select("page_id", F.array_join(F.array_sort(U.candidate_starts("url")), " ").alias("starts"), U.simple_domain(U.host("url")).alias("domain"))
 
 
 @query(f"""WITH h AS (SELECT DISTINCT {_BASE} AS h, split_part({_BASE}, '.', 1) AS l FROM pages)
@@ -143,7 +150,8 @@ def related_hosts(spark, d):
     h = t(spark, d, "pages").select(U.base_host(U.host("url")).alias("h")).distinct().withColumn("l", U.first_label("h")).filter(F.length("l") >= 4)
     part = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(4), F.length("l")), lambda n: F.transform(F.sequence(F.lit(1), F.length("l") - n + 1), lambda i: F.substr("l", i, n))))))
     parts = h.select(F.col("h").alias("g"), part.alias("l"))
-    return h.join(parts, "l").filter("h <> g").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+    met = h.join(parts, "l").filter("h <> g").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+    return met.filter(U.related("a", "b", F.lit(None).cast("string")))
 
 
 # Pages ------------------------------------------------------------------------------------------------------------------
@@ -232,18 +240,22 @@ def find_emails(spark, d):
     return _emails(spark, d).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
 
 
-_EDGE = "regexp_replace(lower(raw), '" + E.EDGE + "', '', 'g')"
+_CLEAN = """WITH r AS (SELECT DISTINCT raw, regexp_replace(regexp_replace(lower(trim(raw)), '^[^a-z0-9_]+|[^a-z0-9]+$', '', 'g'), '^u00[0-9a-f]{2}', '') AS e FROM (%s)),
+s AS (SELECT *, split_part(e, '@', 1) AS l, string_split(split_part(e, '@', 2), '.') AS d FROM r)
+SELECT raw, CASE WHEN regexp_matches(e, '^[a-z0-9._%%+''&-]+@[a-z0-9-]+([.][a-z0-9-]+)+$') AND length(l) <= 64 AND length(e) <= 100 AND NOT regexp_matches(e, '[.](png|jpe?g|gif|svg|webp|css|js|ico|woff2?)$')
+  AND NOT regexp_matches(l, '^([0-9a-f]{24,}|[0-9a-f]{8}-[0-9a-f]{4}-.*)$') AND NOT (starts_with(l, '.') OR suffix(l, '.') OR contains(l, '..'))
+  AND NOT regexp_matches(l, '^(your[._-]?(name|email)|name|example|user(name)?|no-?reply|do-?not-?reply|mailer-daemon|postmaster)$')
+  AND len(list_filter(d, lambda x: length(x) > 40 OR starts_with(x, '-') OR suffix(x, '-'))) = 0 AND regexp_matches(d[len(d)], '^[a-z]{2,}$') THEN e END AS email FROM s"""
 
 
-@query(f"SELECT DISTINCT raw, CASE WHEN NOT regexp_matches({_EDGE}, '{E.ASSET}') THEN {_EDGE} END AS email FROM ({_EMAILS})")
+@query(_CLEAN % _EMAILS)
 def clean_email(spark, d):
     return _emails(spark, d).select("raw", E.clean(F.col("raw"), junk_domains=False).alias("email")).distinct()
 
 
-@query("""SELECT doc_id, translate(substr(text, 1, 60), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS turned, substr(text, 1, 60) AS back FROM documents""")
+@query("""SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS turned, text AS back FROM documents""")
 def rot13_roundtrip(spark, d):
-    head = F.substring("text", 1, 60)
-    return t(spark, d, "documents").select("doc_id", E.rot13(head).alias("turned"), E.rot13(E.rot13(head)).alias("back"))
+    return t(spark, d, "documents").select("doc_id", E.rot13(F.col("text")).alias("turned"), E.rot13(E.rot13(F.col("text"))).alias("back"))
 
 
 @query()
@@ -311,10 +323,11 @@ def unique_across_lists(spark, d):
     return rows.unique_across(e).select("key", F.col("file_ord").alias("source"), F.col("row_ord.doc_id").alias("doc_id"))
 
 
-@query(f"""WITH o AS (SELECT DISTINCT lower(trim(raw)) AS key, source FROM ({_EMAILS})), f AS (SELECT key, min(source) AS first_file FROM o GROUP BY key)
-SELECT first_file, source AS later_file, count(*) AS n FROM o JOIN f USING (key) WHERE source > first_file GROUP BY ALL""")
+@query(f"""WITH o AS (SELECT DISTINCT lower(trim({_PATH})) AS key, {_BASE} AS file FROM pages), f AS (SELECT key, min(file) AS first_file FROM o GROUP BY key)
+SELECT first_file, file AS later_file, count(*) AS n FROM o JOIN f USING (key) WHERE file > first_file GROUP BY ALL""")
 def list_overlaps(spark, d):
-    return rows.overlaps(_emails(spark, d).select(F.col("raw").alias("email"), F.col("source").alias("file_ord")))
+    """Paths that a later host shares with the first one, as stand-ins for addresses of several lists."""
+    return rows.overlaps(t(spark, d, "pages").select(U.path("url").alias("email"), U.base_host(U.host("url")).alias("file_ord")))
 
 
 @query("""WITH h AS (SELECT doc_id % 211 AS email, source AS si, doc_id AS ei, CASE WHEN doc_id % 5 = 0 THEN 'raw' ELSE 'text' END AS source, doc_id % 7 = 0 AS owner FROM documents),
@@ -340,10 +353,10 @@ def assigned_rows(spark, d):
     return rows.assign_rows(sites, hits.filter("email IS NOT NULL"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(cell, '^[=+\\-@\\t\\r]') THEN chr(39) || cell ELSE cell END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || substr(text, 1, 40) ELSE substr(text, 1, 40) END AS cell FROM documents)")
+@query("SELECT doc_id, CASE WHEN regexp_matches(cell, '^[=+\\-@\\t\\r]') THEN chr(39) || cell ELSE cell END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || text ELSE text END AS cell FROM documents)")
 def safe_cell(spark, d):
-    head = F.substring("text", 1, 40)
-    return t(spark, d, "documents").select("doc_id", E.safe_cell(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), head)).otherwise(head)).alias("cell"))
+    text = F.col("text")
+    return t(spark, d, "documents").select("doc_id", E.safe_cell(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), text)).otherwise(text)).alias("cell"))
 
 
 # Names ------------------------------------------------------------------------------------------------------------------
@@ -352,13 +365,15 @@ _TITLES = ", ".join(f"'{w}'" for w in sorted(N.TITLES))
 _STOPS = ", ".join(f"'{w}'" for w in sorted(N.STOP))
 
 
-@query(f"""WITH s AS (SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_extract(text, '^[^\\n.]*'), '\\s+', ' ', 'g')), '[\\s,.:;|-]+$', '') AS x FROM documents), w AS (SELECT *, string_split(x, ' ') AS w FROM s),
+@query(f"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\\n]')) AS y FROM documents),
+s AS (SELECT doc_id, regexp_replace(trim(regexp_replace(y, '\\s+', ' ', 'g')), '[\\s,.:;|-]+$', '') AS x FROM l), w AS (SELECT *, string_split(x, ' ') AS w FROM s WHERE length(x) BETWEEN 4 AND 50),
 u AS (SELECT *, lower(regexp_replace(w[1], '\\.$', '')) IN ({_TITLES}) AS titled FROM w), r AS (SELECT *, CASE WHEN titled THEN w[2:] ELSE w END AS r FROM u)
-SELECT doc_id, x AS name FROM r WHERE length(x) BETWEEN 4 AND 50 AND NOT regexp_matches(x, '[0-9@/\\\\()]') AND len(r) BETWEEN CASE WHEN titled THEN 1 ELSE 2 END AND 4
-AND len(list_filter(r, lambda v: NOT regexp_matches(v, '^\\p{{Lu}}') OR lower(regexp_replace(v, '^[.,]+|[.,]+$', '', 'g')) IN ({_STOPS}))) = 0""")
+SELECT doc_id, x AS name, count(*) AS n FROM r WHERE NOT regexp_matches(x, '[0-9@/\\\\()]') AND len(r) BETWEEN CASE WHEN titled THEN 1 ELSE 2 END AND 4
+AND len(list_filter(r, lambda v: NOT regexp_matches(v, '^\\p{{Lu}}') OR lower(regexp_replace(v, '^[.,]+|[.,]+$', '', 'g')) IN ({_STOPS}))) = 0 GROUP BY ALL""")
 def person_name_candidates(spark, d):
-    first = F.regexp_extract("text", r"^[^\n.]*", 0)
-    return t(spark, d, "documents").select("doc_id", N.person_name_column(first).alias("name")).filter("name IS NOT NULL")
+    """Every sentence or line of the text that reads as a person's name."""
+    parts = t(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"[.\n]")).alias("part"))
+    return parts.select("doc_id", N.person_name_column(F.col("part")).alias("name")).filter("name IS NOT NULL").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -373,10 +388,11 @@ def local_kinds(spark, d):
     return e.select("email", rows.local_kind()(F.split_part("email", F.lit("@"), F.lit(1)), F.split_part("email", F.lit("@"), F.lit(2))).alias("l")).select("email", "l.*")
 
 
-@query(f"SELECT local, count(DISTINCT domain) AS n_domains FROM (SELECT split_part(lower(raw), '@', 1) AS local, split_part(lower(raw), '@', 2) AS domain FROM ({_EMAILS})) GROUP BY local HAVING count(DISTINCT domain) >= 1")
+@query(f"SELECT local, count(DISTINCT domain) AS n_domains FROM (SELECT regexp_extract({_PATH}, '^/([^/]*)', 1) AS local, {_BASE} AS domain FROM pages) GROUP BY local HAVING count(DISTINCT domain) >= 15")
 def role_candidates(spark, d):
-    e = _emails(spark, d).select(F.split_part(F.lower("raw"), F.lit("@"), F.lit(1)).alias("local"), F.split_part(F.lower("raw"), F.lit("@"), F.lit(2)).alias("domain"))
-    return reports.role_candidates(e, 1)
+    """First path segments that very many hosts use, as stand-ins for local parts of many domains."""
+    p = t(spark, d, "pages").select(F.regexp_extract(U.path("url"), "^/([^/]*)", 1).alias("local"), U.base_host(U.host("url")).alias("domain"))
+    return reports.role_candidates(p, 15)
 
 
 @query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS token FROM part) WHERE token <> '' GROUP BY token")
@@ -498,13 +514,17 @@ def json_props(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("sum_k"), F.max(k).alias("max_k"))
 
 
-@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id) WHERE event_type <> 'error'")
 def stream_latest(spark, d):
-    """The newest event of each user by a file stream that takes what there is and stops."""
+    """The newest event of each user by a file stream that takes what there is and stops: a run over the later half, one over the earlier
+    half, whose late rows change nothing, and an idle one. An error takes its user out until a newer event."""
     folder = new_path(spark, "stream")
-    t(spark, d, "events").write.parquet(f"{folder}/in")
+    e = t(spark, d, "events")
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    out = latest.run_available(spark, f"{folder}/in", schema, ["user_id"], ["event_id"], f"{folder}/out", f"{folder}/checkpoint")
+    for half in (1, 0, None):
+        if half is not None:
+            e.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{folder}/in")
+        out = latest.run_available(spark, f"{folder}/in", schema, ["user_id"], ["event_id"], f"{folder}/out", f"{folder}/checkpoint", parts=8, gone="event_type = 'error'")
     return out.select("user_id", "event_id", "event_type", "value")
 
 
@@ -514,3 +534,123 @@ def site_overview(spark, d):
     """The flagship: pages, hosts and distinct pages of each registrable domain."""
     p = t(spark, d, "pages").select(U.base_host(U.host("url")).alias("host"), U.page_key("url").alias("key"), U.path("url").rlike(U.CONTACT).alias("contact"))
     return p.groupBy(U.simple_domain("host").alias("domain")).agg(F.count("*").alias("n_pages"), F.countDistinct("host").alias("n_hosts"), F.countDistinct("key").alias("n_keys"), F.count_if("contact").alias("n_contact"))
+
+
+# Lists, rules and sitemaps as files -------------------------------------------------------------------------------------
+
+
+@query("""SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, n_nationkey::VARCHAR || '|' || n_name || ', "' || n_regionkey || '"\n x||' || n_name AS cells FROM nation""")
+def csv_cells(spark, d):
+    """The cells of a list file with quotes, line ends inside cells and empty cells, as its reader gives them."""
+    folder = new_path(spark, "list")
+    n = t(spark, d, "nation")
+    rows_ = n.select(F.col("n_nationkey").cast("string").alias("a"), F.concat("n_name", F.lit(', "'), "n_regionkey", F.lit('"\n x')).alias("b"), F.lit("").alias("c"), F.col("n_name").alias("d"), "n_nationkey")
+    rows_.orderBy("n_nationkey").drop("n_nationkey").coalesce(1).write.option("escape", '"').option("emptyValue", "").csv(folder)
+    return readers.csv_list(spark, f"{folder}/*.csv").select("ord", F.array_join("cells", "|").alias("cells"))
+
+
+_GIVEN = f"""{_SCHEME} || '://' || {_HOST} || CASE WHEN starts_with(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(.*)$', 1), '/') THEN '' ELSE '/' END || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(.*)$', 1)"""
+
+
+@query(f"SELECT min(page_id) AS ord, arg_min({_GIVEN}, page_id) AS url, key FROM (SELECT page_id, url, {_SITE_KEY} AS key FROM pages) GROUP BY key")
+def input_sites(spark, d):
+    p = t(spark, d, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("site"), F.lit("").alias("input_name"))
+    return lists.input_list(p, D.rules(spark))[0].select("ord", "url", "key")
+
+
+_RULES = [(False, "/a"), (True, "/about"), (False, "/*?ref"), (False, "/*.html$"), (True, "/*page=2")]
+_RULE_SQL = ", ".join(f"({a}, {len(p)}, '^{p.rstrip('$').replace('.', '[.]').replace('?', '[?]').replace('*', '.*')}{'$' if p.endswith('$') else ''}')" for a, p in _RULES)
+
+
+@query(f"""WITH r(allow, n, rx) AS (VALUES {_RULE_SQL}), p AS (SELECT page_id, {_PATH} || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END AS target FROM pages)
+SELECT page_id, coalesce(arg_max(allow, 2 * n + allow::INT), true) AS allowed FROM p LEFT JOIN r ON regexp_matches(target, rx) GROUP BY page_id""")
+def robots_check(spark, d):
+    body = "User-agent: *\n" + "\n".join(f"{'Allow' if a else 'Disallow'}: {p}" for a, p in _RULES)
+    rules = readers.robots_rules(spark.createDataFrame([("x", 200, body)], "origin string, http_status int, body string")).first()["rules"]
+    held = F.array(*[F.struct(F.lit(r["allow"]).alias("allow"), F.lit(r["pattern"]).alias("pattern")) for r in rules])
+    return t(spark, d, "pages").select("page_id", U.robots_allows(F.lit("rules"), held, "url").alias("allowed"))
+
+
+@query(f"""WITH p AS (SELECT {_HOST} AS site, page_id % 2 AS f, page_id, url FROM pages), u AS (SELECT site, url, min((f, page_id)) AS o FROM p GROUP BY ALL)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY o) AS n, url AS loc FROM u""")
+def sitemap_pages(spark, d):
+    """Each host's pages from its stored sitemaps: an index, in which the listing of products comes first but is read last."""
+    p = t(spark, d, "pages").select(U.host("url").alias("site"), (F.col("page_id") % 2).alias("f"), "page_id", "url")
+    name = F.when(F.col("f") == 0, F.concat(F.lit("https://"), "site", F.lit("/s.xml"))).otherwise(F.concat(F.lit("https://"), "site", F.lit("/products.xml")))
+    loc = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc></url>"))
+    sets = p.groupBy("site", name.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("x")))), lambda x: x["x"]), "").alias("x"))
+    index = p.select("site").distinct().withColumn("root", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")))
+    of = [F.concat(F.lit("<sitemap><loc> https://"), "site", F.lit(f"/{x}.xml </loc></sitemap>")) for x in ("products", "s")]
+    files = sets.select(F.col("file").alias("url"), F.encode(F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")), "UTF-8").alias("content"))
+    files = files.unionAll(index.select("root", F.encode(F.concat(F.lit("<sitemapindex>"), *of, F.lit("</sitemapindex>")), "UTF-8")))
+    found = readers.sitemap(files, index.select("site", F.col("root").alias("url"), F.lit(0).alias("ord")), most_urls=1 << 30)
+    return found.select("site", F.col("n").cast("long").alias("n"), "loc")
+
+
+# Runs -------------------------------------------------------------------------------------------------------------------
+
+_RESULTS = """SELECT user_id AS site, count(*) FILTER (event_type = 'purchase') // 10 AS n_emails, CASE WHEN user_id % 4 = 0 THEN 'timeout' WHEN user_id % 9 = 0 THEN 'other text' END AS error, count(*) AS pages, count(*) FILTER (event_type = 'view') AS reused,
+  user_id % 5 = 0 AS used_browser, CASE WHEN user_id % 6 = 0 THEN 3 END AS rate_limited, CASE WHEN user_id % 7 = 0 THEN 2 END AS budget_queued, CASE WHEN user_id % 11 = 0 THEN 9 END AS cap_queued FROM events WHERE user_id % 13 <> 0 GROUP BY user_id"""
+
+
+def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Users as sites and their events as results; every 13th user has none."""
+    e, u = t(spark, d, "events"), F.col("user_id")
+    r = e.filter(u % 13 != 0).groupBy("user_id").agg(F.floor(F.count_if(F.col("event_type") == "purchase") / 10).alias("n_emails"), F.count("*").alias("pages"), F.count_if(F.col("event_type") == "view").alias("reused"))
+    r = r.withColumns({"error": F.when(u % 4 == 0, "timeout").when(u % 9 == 0, "other text"), "error_detail": F.when(u % 8 == 0, "slow"), "used_browser": u % 5 == 0, "rate_limited": F.when(u % 6 == 0, 3), "budget_queued": F.when(u % 7 == 0, 2), "cap_queued": F.when(u % 11 == 0, 9)})
+    site = lambda c: c.cast("string")
+    return e.select(u.alias("si"), site(u).alias("site")).distinct(), r.withColumn("site", site(u)).drop("user_id")
+
+
+@query(f"""WITH r AS ({_RESULTS}), s AS (SELECT DISTINCT user_id AS site FROM events), j AS (SELECT s.site, r.* EXCLUDE (site), r.site IS NOT NULL AS held FROM s LEFT JOIN r USING (site))
+SELECT count(*) AS sites, count(*) FILTER (held AND n_emails > 0) AS with_emails, count(*) FILTER (held AND n_emails = 0 AND error IS NULL) AS no_emails, count(*) FILTER (held AND n_emails = 0 AND error IS NOT NULL) AS failed,
+  count(*) FILTER (held AND n_emails > 0 AND error IS NOT NULL) AS partial, count(*) FILTER (NOT held) AS missing, (sum(pages) - sum(reused))::BIGINT AS fetched, sum(reused)::BIGINT AS reused, count(*) FILTER (used_browser) AS browser_sites,
+  count(rate_limited) AS limited_sites, sum(rate_limited)::BIGINT AS limited_pages, count(budget_queued) AS late_sites, sum(budget_queued)::BIGINT AS late_pages, count(cap_queued) AS capped_sites, sum(cap_queued)::BIGINT AS capped_pages FROM j""")
+def run_summary(spark, d):
+    return reports.full_summary(*_runs(spark, d))
+
+
+@query(f"""SELECT CASE WHEN error = 'timeout' THEN 'timeout' ELSE 'internal-error' END AS reason, CASE WHEN site % 8 = 0 THEN 'slow' END AS detail, count(*) AS n FROM ({_RESULTS}) WHERE error IS NOT NULL AND n_emails = 0 GROUP BY ALL""")
+def run_failures(spark, d):
+    _, r = _runs(spark, d)
+    return r.filter("error IS NOT NULL AND n_emails = 0").groupBy(reports.reason_code(F.col("error")).alias("reason"), F.col("error_detail").alias("detail")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH q AS (SELECT {_simple(_BASE)} AS site, url, {_SCHEME} || '://' || {_KEY} AS key, (page_id % 3)::INT AS depth, page_id % 5 AS pri FROM pages), b AS (SELECT site, count(*) AS total FROM q GROUP BY site),
+f AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY pri, depth, url) AS n FROM q)
+SELECT b.site, total, least(total, 20) AS saved, string_agg(url, ' ' ORDER BY n) AS urls, b.site <> 'example.org' AS capped FROM b JOIN f ON b.site = f.site AND n <= 20 GROUP BY ALL""")
+def resume_states(spark, d):
+    p = t(spark, d, "pages").select(U.simple_domain(U.base_host(U.host("url"))).alias("site"), "url", (F.col("page_id") % 3).cast("int").alias("depth"), (F.col("page_id") % 5).alias("pri"))
+    stops = p.select("site").distinct().select("site", F.when(F.col("site") == "example.org", "time").otherwise("cap").alias("stop"), F.lit(False).alias("carried_capped"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("browser"))
+    none = p.limit(0)
+    out = frontier.resume_state(stops, p, none.select("site", "url", "depth", F.struct(F.lit(0).alias("_f"), F.lit(0).alias("seq")).alias("at")), p.select("site", U.canonical("url").alias("key")).distinct(), most=20)
+    urls = F.array_join(F.transform("resume.queued", lambda x: x["url"]), " ")
+    return out.select("site", "total", F.size("resume.queued").cast("long").alias("saved"), urls.alias("urls"), F.col("resume.capped").alias("capped"))
+
+
+@query(f"SELECT count(*) AS checked, count(*) FILTER (NOT held) AS missing FROM (SELECT k, max(page_id % 3 <> 0) AS held FROM (SELECT page_id, {_KEY} AS k FROM pages) GROUP BY k)")
+def store_completeness(spark, d):
+    p = t(spark, d, "pages").select("page_id", U.page_key("url").alias("k"))
+    return reports.completeness(p, p.filter("page_id % 3 <> 0"), ["k"])
+
+
+@query(f"""WITH p AS (SELECT page_id, {_KEY} AS k FROM pages) SELECT k AS page_key, max(page_id) AS seq FROM p WHERE k IN (SELECT k FROM p WHERE page_id % 4 = 0) GROUP BY k HAVING max(page_id) % 7 <> 0""")
+def page_look_up(spark, d):
+    p = t(spark, d, "pages").select(F.lit("http").alias("mode"), U.page_key("url").alias("page_key"), F.col("page_id").alias("fetched_at"), F.col("page_id").alias("seq"), (F.col("page_id") % 7 == 0).alias("gone"))
+    return store.look_up(p, p.filter("seq % 4 = 0")).select("page_key", "seq")
+
+
+@query(f"""WITH p AS (SELECT page_id, {_simple(_BASE)} AS site, url, {_KEY} AS key, {_SCHEME} IN ('http', 'https') AND NOT regexp_matches({_PATH}, '{U.ASSETS}') AND NOT regexp_matches({_PATH}, '{U.DENIED}') AND len({_PARAMS}) <= 2 AND length(url) <= 250
+  AND len(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')) <= 8 AS ok FROM pages)
+SELECT site, key, min(url) AS url FROM p WHERE ok AND (site, key) NOT IN (SELECT (site, key) FROM p WHERE page_id % 2 = 0) GROUP BY ALL""")
+def enqueue_pages(spark, d):
+    p = t(spark, d, "pages").select("page_id", U.simple_domain(U.base_host(U.host("url"))).alias("site"), "url", U.host("url").alias("host"), U.page_key("url").alias("key"))
+    return frontier.enqueue(p.filter("page_id % 2 = 0"), p, 1, 3).select("site", "key", "url")
+
+
+@query(f"SELECT doc_id, lower(raw) AS email, count(*) AS n FROM ({_EMAILS}) GROUP BY ALL")
+def known_addresses(spark, d):
+    """Addresses of which every second one is turned by 13 letters: an unknown suffix that is known once turned back."""
+    e = _emails(spark, d).select("doc_id", F.lower("raw").alias("email"))
+    e = e.withColumn("email", F.when(F.col("doc_id") % 2 == 0, E.rot13(F.col("email"))).otherwise(F.col("email")))
+    return filters.known_addresses(e, D.rules(spark)).groupBy("doc_id", "email").agg(F.count("*").alias("n"))
