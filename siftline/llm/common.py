@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.sources.shared import new_path
+
 #: Characters that separate words: space and U+0009 to U+000D (as a Java and RE2 class body).
 SPACES = r"\x20\x09-\x0D"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Outside local mode the cluster has to name it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "siftline-checkpoint")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as a Parquet table in the shared folder and reads it back.
 
     Cuts lineage, survives lost executors, and keeps costly columns from being computed again.
     """
-    path = f"{shared_folder(df.sparkSession)}/siftline/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,6 +29,11 @@ def forget(*stored: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark drops the shuffle files of finished steps once nothing there refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs, stored once with a number of each row in `__row`: repeated or null ids name rows no longer."""
     return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), name)

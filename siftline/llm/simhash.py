@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import forget, materialize, numbered
+from siftline.llm.common import forget, materialize, numbered, release
 from siftline.llm.graph import components
 
 WIDTH = 3
@@ -202,10 +202,12 @@ def _alike(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, per
     wanted = materialize(firsts.select("node", "__row").join(nodes, "node"), "simhash-wanted")
     sets = rows.select("__row", "text").join(wanted, "__row").select("node", "text")
     sets = materialize(sets.mapInArrow(lambda it: _sets(it, width), "node long, shingles array<long>"), "simhash-sets")
+    release(rows.sparkSession)
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     near = F.size(F.array_intersect("sa", "sb")).cast("long") * (100 + percent) >= (F.size("sa").cast("long") + F.size("sb")) * percent
     found = materialize(pairs.join(one, "a").join(two, "b").filter(near).select("a", "b"), "simhash-alike")
     forget(pairs, nodes, wanted, sets)
+    release(rows.sparkSession)
     return found
 
 
@@ -231,6 +233,7 @@ def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH,
     firsts = made.select("__row", "node", "fp").join(nodes, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("__row", "fp"), "__row").alias("m"))
     firsts = materialize(firsts.select("node", "m.__row", "m.fp"), "simhash-firsts")
     forget(shared, nodes)
+    release(rows.sparkSession)
 
     fps = materialize(firsts.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
     met = links(fps.select("fp"), DISTANCE, pair_limit)
@@ -261,6 +264,7 @@ def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH,
         found = found.unionAll(_alike(pairs.select("a", F.col("node").alias("b")), rows, firsts, width, percent))
         forget(held, hubs)
         held = current()
+        release(rows.sparkSession)
     other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("rb"))
     # In the first key that two sets share, all that they share is there and behind.
     enough = F.least(F.col("n").cast("long") - F.col("at"), F.col("nb").cast("long") - F.col("bt")) * (100 + percent) >= (F.col("n").cast("long") + F.col("nb")) * percent
