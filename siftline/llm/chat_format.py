@@ -70,42 +70,53 @@ def _steps(chances) -> np.ndarray:
 ROWS, LINES = _steps(BETWEEN_ROWS), _steps(WITHIN_ROW)
 _YES = {k: np.array([_log(p) for p in v]) for k, v in CHANCES.items()}
 _NO = {k: np.array([_log(1 - p) for p in v]) for k, v in CHANCES.items()}
-_SAID = {r: np.array([_log(MARKED if r == s else MISMARKED) for s in ROLES]) for r in ROLES}
+#: Scores of the roles by what a line shows, bit i for the i-th of CHANCES; and by the marker it bears, the last for none.
+_SHOWN = np.array([sum((_YES if bits >> i & 1 else _NO)[k] for i, k in enumerate(CHANCES)) for bits in range(1 << len(CHANCES))])
+_SAID = np.array([[_log(MARKED if r == s else MISMARKED) for s in ROLES] for r in ROLES] + [[0] * len(ROLES)])
+_NONE = len(ROLES)
 
 
-def line_score(line: str, said: str | None) -> tuple[np.ndarray, str]:
-    """Scores of the roles for a line, and the line without its marker. said: the marker of its row."""
+def unmarked(line: str) -> str:
+    """The line without its marker."""
     m = _MARKER.match(line)
-    marks = [MARKERS[m[1].lower()]] if m else []
-    rest = line[m.end() :] if m else line
-    if said and not m:
-        marks.append(said)
-    seen = {"asks": rest.rstrip().endswith(("?", "？")), "greets": bool(_GREETING.match(rest)), "instructs": bool(_INSTRUCTION.match(rest)), "lists": bool(_CODE.match(rest)), "long": len(rest) > 200}
-    score = sum((_YES if yes else _NO)[k] for k, yes in seen.items())
-    for mark in marks:
-        score = score + _SAID[mark]
-    return score, rest
-
-
-def row_steps(text: str | None, role: str | None) -> tuple[list[np.ndarray], list[str]]:
-    """For each line of a row the (N, N) scores of its step, and the lines without markers."""
-    said = MARKERS.get((role or "").strip().lower())
-    steps, rest = [], []
+    return line[m.end() :] if m else line
+
+
+def row_scores(text: str | None, role: str | None) -> np.ndarray:
+    """(lines, roles): the score of each role for each line of a row."""
+    given = MARKERS.get((role or "").strip().lower())
+    shown, said = [], []
     for i, line in enumerate((text or "").split("\n")):
-        score, plain = line_score(line, said if i == 0 else None)
-        step = (ROWS if i == 0 else LINES).copy()
-        step[:, :START] += score
-        steps.append(step)
-        rest.append(plain)
-    return steps, rest
+        m = _MARKER.match(line)
+        mark = MARKERS[m[1].lower()] if m else given if i == 0 else None
+        rest = line[m.end() :] if m else line
+        asks, greets, instructs, lists = rest.rstrip().endswith(("?", "？")), bool(_GREETING.match(rest)), bool(_INSTRUCTION.match(rest)), bool(_CODE.match(rest))
+        shown.append(asks | greets << 1 | instructs << 2 | lists << 3 | (len(rest) > 200) << 4)
+        said.append(ROLES.index(mark) if mark else _NONE)
+    return _SHOWN[shown] + _SAID[said]
+
+
+def steps(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(lines, N, N): scores of going from a state to a role that shows a line; first: whether a line is its row's first."""
+    out = np.where(first[:, None, None], ROWS, LINES)
+    out[:, :, :START] += scores[:, None, :]
+    return out
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(max, +) product."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
+    """(max, +) products of matrices, or of rows of matrices."""
+    return np.maximum((a[..., :, :, None] + b[..., None, :, :]).max(axis=-2), NEVER)
+
+
+def product(matrices: np.ndarray) -> np.ndarray:
+    """The (max, +) product of matrices in order, neighbours first: it does not depend on how they are bracketed."""
+    while len(matrices) > 1:
+        pairs = combine(matrices[: len(matrices) // 2 * 2 : 2], matrices[1::2])
+        matrices = np.concatenate([pairs, matrices[-1:]]) if len(matrices) % 2 else pairs
+    return matrices[0]
 
 
-def viterbi(alpha: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def viterbi(alpha: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores at the end, and for each last state the states from the entry on: (N, steps + 1). The first of equals wins."""
     back = []
     for step in steps:
@@ -119,30 +130,39 @@ def viterbi(alpha: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.
     return alpha, paths
 
 
-BLOCKS = "conv_id long, part int, block int, matrix array<long>, rows array<struct<turn: long, role: string, text: string>>"
+BLOCKS = "conv_id long, part int, block int, matrix array<long>, scores array<long>, lines array<int>, rows array<struct<turn: long, role: string, text: string>>"
 _ROW = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
 
+def _first(lines: list[int]) -> np.ndarray:
+    """Whether a line is its row's first, from the lines of each row."""
+    out = np.zeros(sum(lines), bool)
+    out[np.cumsum([0, *lines[:-1]])] = True
+    return out
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     context = TaskContext.get()
     part = context.partitionId() if context else 0
     held: list[dict] = []
-    conv, block, chars, matrix = None, 0, 0, None
+    conv, block, chars = None, 0, 0
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([matrix.ravel().tolist()], pa.list_(pa.int64())), pa.array([held], pa.list_(_ROW))], ["conv_id", "part", "block", "matrix", "rows"])
+        each = [row_scores(r["text"], r["role"]) for r in held]
+        lines, scores = list(map(len, each)), np.concatenate(each)
+        matrix = product(steps(scores, _first(lines)))
+        cols = ([conv], pa.int64()), ([part], pa.int32()), ([block], pa.int32()), ([matrix.ravel()], pa.list_(pa.int64())), ([scores.ravel()], pa.list_(pa.int64())), ([lines], pa.list_(pa.int32())), ([held], pa.list_(_ROW))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in cols], ["conv_id", "part", "block", "matrix", "scores", "lines", "rows"])
 
     for batch in batches:
         for row in batch.to_pylist():
             if held and (row["conv_id"] != conv or len(held) >= size or chars > most_chars):
                 yield done()
                 block += 1
-                held, chars, matrix = [], 0, None
+                held, chars = [], 0
             conv = row["conv_id"]
-            for step in row_steps(row["text"], row["role"])[0]:
-                matrix = step if matrix is None else combine(matrix, step)
             held.append({k: row[k] for k in ("turn", "role", "text")})
             chars += len(row["text"] or "")
     if held:
@@ -165,14 +185,12 @@ def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 DECODED = "conv_id long, part int, block int, scores array<long>, entry array<int>, paths array<binary>"
 
 
-def _steps_of(rows: list[dict]) -> list[np.ndarray]:
-    return [s for r in rows for s in row_steps(r["text"], r["role"])[0]]
-
-
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (conv_id, part, block, scores, lines, alpha) to DECODED."""
     for batch in batches:
         for r in batch.to_pylist():
-            scores, paths = viterbi(np.array(r["alpha"]), _steps_of(r["rows"]))
+            each = np.array(r["scores"], np.int64).reshape(-1, START)
+            scores, paths = viterbi(np.array(r["alpha"]), steps(each, _first(r["lines"])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["conv_id"]], pa.int64()), pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([scores.tolist()], pa.list_(pa.int64())), pa.array([paths[:, 0].tolist()], pa.list_(pa.int32())), pa.array([[p[1:].tobytes() for p in paths]], pa.list_(pa.binary()))],
                 ["conv_id", "part", "block", "scores", "entry", "paths"],
@@ -201,7 +219,7 @@ def render(role: str, text: str) -> str:
 
 def turns(row: dict, states: bytes) -> Iterator[tuple[int, str, str]]:
     """(part, role, text) of a row: lines in a row with one role make one turn; empty lines at its ends go."""
-    lines = row_steps(row["text"], row["role"])[1]
+    lines = [unmarked(x) for x in (row["text"] or "").split("\n")]
     at = part = 0
     for i in range(1, len(lines) + 1):
         if i == len(lines) or states[i] != states[at]:
@@ -232,7 +250,7 @@ def chat_format(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = materialize(rows.drop("_tie").mapInArrow(lambda it: _blocks(it, block), BLOCKS), "chat-blocks")
     light = blocks.select("conv_id", "part", "block", "matrix").repartition("conv_id").sortWithinPartitions("conv_id", "part", "block")
     alphas = light.mapInArrow(_forward, "part int, block int, alpha array<long>")
-    decoded = blocks.join(alphas, ["part", "block"]).select("conv_id", "part", "block", "rows", "alpha").mapInArrow(_decode, DECODED)
+    decoded = blocks.select("conv_id", "part", "block", "scores", "lines").join(alphas, ["part", "block"]).select("conv_id", "part", "block", "scores", "lines", "alpha").mapInArrow(_decode, DECODED)
     decoded = materialize(decoded, "chat-decoded")
     light = decoded.select("conv_id", "part", "block", "scores", "entry").repartition("conv_id").sortWithinPartitions("conv_id", F.desc("part"), F.desc("block"))
     ends = light.mapInArrow(_backward, "part int, block int, end int")
