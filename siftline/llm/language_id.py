@@ -6,9 +6,9 @@ are counted per language, and each count c of n is corrected for the filter's ra
 its slots that are set, to the power of the hashes): (c - n p) / (1 - p). The largest corrected count decides.
 
 N-grams are of NGRAM bytes of UTF-8 text in which A-Z are lower-cased and all other ASCII but a-z is one space; the
-whole text counts, each n-gram once in a chunk of 2**20 bytes. Filters are filled from a bounded sample, about SAMPLE texts a language of up to SAMPLE_CHARS
-characters chosen by hash, with the n-grams that at least two of its texts hold (one, if there are under 20 texts) and
-that are not far more usual elsewhere (FAIR): quotations do not make an n-gram a language's own.
+whole text counts, each n-gram once. Filters are filled from a bounded sample, about SAMPLE texts a language chosen by hash, of longer ones a
+piece of SAMPLE_CHARS characters, with the n-grams that at least two of its texts hold (one, if there are under 20 texts) and
+that are not far more usual elsewhere (FAIR): quotations do not make an n-gram a language's own. Every language that a learnable row has is learned.
 Null texts and texts without a letter are `und` with score 0, as all texts are if nothing was learned; ties go to the
 language with the most training rows, then by name. Repeated rows are scored row by row; other columns are ignored.
 """
@@ -31,7 +31,6 @@ SLOTS = 1 << 21
 HASHES = 2
 SAMPLE = 300
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 1024
 #: A language holds an n-gram if its share of texts with it is at least so much of the largest such share.
 FAIR = 0.1
 _CHUNK = 1 << 20
@@ -46,18 +45,18 @@ class Model:
     rates: np.ndarray  # of false positives, a language
 
 
-def ngrams(text: bytes) -> Iterator[np.ndarray]:
-    """64-bit mixes of the text's n-grams, in chunks; each n-gram once a chunk: a line said often has one say."""
+def ngrams(text: bytes) -> np.ndarray:
+    """64-bit mixes of the text's n-grams, each once: a line said often has one say. Long texts are read in chunks."""
     data = b" " + b" ".join(text.translate(_TABLE).split()) + b" "
+    parts = []
     for at in range(0, max(1, len(data) - NGRAM + 1), _CHUNK):
         b = np.frombuffer(data[at : at + _CHUNK + NGRAM - 1], np.uint8)
-        n = len(b) - NGRAM + 1
-        if n <= 0:
-            continue
+        n = max(0, len(b) - NGRAM + 1)
         h = b[:n].astype(np.uint64)
         for k in range(1, NGRAM):
             h = (h << np.uint64(8)) | b[k : n + k]
-        yield np.unique(h) * np.uint64(0x9E3779B97F4A7C15)
+        parts.append(np.unique(h))
+    return (parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slots(h: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -67,17 +66,15 @@ def _slots(h: np.ndarray, slots: int) -> list[np.ndarray]:
 
 def counts(text: bytes, model: Model) -> tuple[np.ndarray, int]:
     """How many of the text's n-grams each language's filter holds, and how many there are."""
-    found, n = np.zeros(len(model.languages), np.int64), 0
-    for h in ngrams(text):
-        n += len(h)
-        places = _slots(h, model.masks.shape[1])
-        for w, masks in enumerate(model.masks):
-            held = masks[places[0]]
-            for p in places[1:]:
-                held &= masks[p]
-            for i in range(min(64, len(found) - 64 * w)):
-                found[64 * w + i] += np.count_nonzero(held & np.uint64(1 << i))
-    return found, n
+    found, h = np.zeros(len(model.languages), np.int64), ngrams(text)
+    places = _slots(h, model.masks.shape[1])
+    for w, masks in enumerate(model.masks):
+        held = masks[places[0]]
+        for p in places[1:]:
+            held &= masks[p]
+        for i in range(min(64, len(found) - 64 * w)):
+            found[64 * w + i] += np.count_nonzero(held & np.uint64(1 << i))
+    return found, len(h)
 
 
 def identify(text: str | None, model: Model) -> tuple[str, float]:
@@ -91,22 +88,23 @@ def identify(text: str | None, model: Model) -> tuple[str, float]:
 
 def train(docs: DataFrame, held_mod: int = 3, held_rest: int = 1, sample: int = SAMPLE, slots: int = SLOTS) -> Model:
     """Filters of every lang value outside the held-out remainder."""
-    seen = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    seen = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen = seen.filter(F.coalesce(crc32_mod("doc_id", held_mod), F.lit(-1)) != held_rest)
-    sizes = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     names = tuple(r["lang"] for r in sizes)
     masks = np.zeros((max(1, -(-len(names) // 64)), slots), np.uint64)
-    # Each text's chance is sample / count of its language, drawn by its hash: no sort, a bounded result.
+    # Each text's chance is sample / count of its language, drawn by its hash: no sort, a bounded result. Of a long text a piece is
+    # learned, from a place that its hash gives.
     uniform = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("lang"), F.col("doc_id").cast("string"), F.col("text"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1.0, sample / r["count"])) for r in sizes]) if sizes else F.lit(0.0)
+    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])[F.col("lang")] if sizes else F.lit(0.0)
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    piece = F.substr("text", (F.pmod(F.xxhash64("text"), spare + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
     texts: dict[str, list[str]] = {}
-    for r in seen.filter(uniform < rate).select("lang", "text").toLocalIterator():
+    for r in seen.filter(uniform < rate).select("lang", piece.alias("text")).toLocalIterator():
         texts.setdefault(r["lang"], []).append(r["text"])
     grams, shares, owner = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.int64)]
     for i, name in enumerate(names):
-        own = [np.unique(np.concatenate([*ngrams(t.encode()), np.zeros(0, np.uint64)])) for t in texts.get(name, [])]
+        own = [ngrams(t.encode()) for t in texts.get(name, [])]
         found, held = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
         enough = held >= (2 if len(own) >= 20 else 1)
         grams.append(found[enough])
