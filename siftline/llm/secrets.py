@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,16 +47,29 @@ def entropy(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
+def _apart(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order, none of which meet."""
+    lows: list[int] = []
+    highs: list[int] = []
+    for a, b in sorted(spans):
+        if highs and a <= highs[-1]:
+            highs[-1] = max(highs[-1], b)
+        else:
+            lows.append(a), highs.append(b)
+    return lows, highs
+
+
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the value) by start, then kind in the order of KINDS."""
     out = [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
-    base = sorted((a, b) for _, a, b, _ in out)
+    lows, highs = _apart((a, b) for _, a, b, _ in out)
     for m in OPAQUE.finditer(text):
-        value = m.group()
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(a < m.end() and m.start() < b for a, b in base) and entropy(value) >= MIN_ENTROPY:
+        value, i = m.group(), bisect_right(highs, m.start())
+        base = i < len(lows) and lows[i] < m.end()
+        if not base and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= MIN_ENTROPY:
             out.append(("opaque", m.start(), m.end(), m.start()))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
