@@ -15,6 +15,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -41,22 +42,56 @@ def test_sql(spark):
 # 1 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_chat_blocks_equal_one_viterbi_run(spark):
+def plain_chances(line, role, state):
+    """A line's score for a state from the tables alone."""
+    c = chat_format
+    m = re.match(r"(?i)\s*(user|assistant|q):\s*", line)  # the only markers in these texts
+    rest = line[m.end() :] if m else line
+    shows = {"asks": rest.rstrip().endswith("?"), "greets": bool(re.match(r"(?i)\s*hi\b", rest)), "instructs": rest.lower().startswith("you are"), "lists": bool(re.match(r"\s*\d+\. ", rest)), "long": len(rest) > 200}
+    log = lambda x: round(1000 * float(np.log(x)))
+    out = sum(log(p[state] if shows[k] else 1 - p[state]) for k, p in c.CHANCES.items())
+    mark = c.MARKERS[m[1].lower()] if m else c.MARKERS.get(role or "")
+    return out + (0 if mark is None else log(c.MARKED if c.ROLES[state] == mark else c.MISMARKED))
+
+
+def plain_states(group):
+    """The best states of a conversation's lines by trying every sequence; the first of equals from the last line on."""
+    lines = [(line, x[2] if i == 0 else None, i == 0) for x in group for i, line in enumerate((x[3] or "").split("\n"))]
+    log = lambda x: round(1000 * float(np.log(x)))
+    best = None
+    for states in itertools.product(range(4), repeat=len(lines)):
+        score, before = 0, 4
+        for (line, role, first), s in zip(lines, states, strict=True):
+            score += log((chat_format.BETWEEN_ROWS if first else chat_format.WITHIN_ROW)[before][s]) + plain_chances(line, role, s)
+            before = s
+        if best is None or (score, [-s for s in reversed(states)]) > best[:2]:
+            best = score, [-s for s in reversed(states)], states
+    return best[2]
+
+
+def test_chat_equals_all_sequences(spark):
     r = random.Random(5)
-    texts = ["User: hi?\nAssistant: yes\nit is", None, "", "You are a helper", "Q: what?", "1. a\n2. b", "x" * 300]
-    rows = [(r.choice([1, 2, None]), r.randint(0, 40), r.choice(["user", "assistant", None, "bot", "weird"]), r.choice(texts)) for _ in range(200)]
+    texts = ["User: hi?\nAssistant: yes", None, "", "You are a helper", "Q: what?", "1. a", "x" * 300]
+    rows, size = [], {}
+    while len(rows) < 40:  # of up to 6 lines a conversation
+        row = (r.choice([*range(12), None]), r.randint(0, 40), r.choice(["user", "assistant", None, "bot", "weird"]), r.choice(texts))
+        size[row[0]] = size.get(row[0], 0) + (row[3] or "").count("\n") + 1
+        if size[row[0]] <= 6:
+            rows.append(row)
+        elif all(size.get(c, 0) >= 6 for c in [*range(12), None]):
+            break
     key = lambda x: tuple((v is not None, v if isinstance(v, int) else (v or "").encode()) for v in (x[0], x[1], x[3], x[2]))
     want = []
     for _, group in itertools.groupby(sorted(rows, key=key), key=lambda x: x[0]):
         group = list(group)
-        scores, paths = chat_format.viterbi(np.where(np.arange(chat_format.N) == chat_format.START, 0, chat_format.NEVER), chat_format._steps_of([{"text": x[3], "role": x[2]} for x in group]))
-        path, at = paths[scores.argmax()][1:].tobytes(), 0
+        states, at = plain_states(group), 0
         for x in group:
-            n = (x[3] or "").count("\n") + 1
-            want += [(x[0], x[1], part, x[2], role, text) for part, role, text in chat_format.turns({"text": x[3], "role": x[2]}, path[at : at + n])]
-            at += n
+            lines = [re.sub(r"(?i)^\s*(user|assistant|q):\s*", "", line) for line in (x[3] or "").split("\n")]
+            runs = itertools.groupby(zip(states[at : at + len(lines)], lines, strict=True), key=lambda y: y[0])
+            want += [(x[0], x[1], part, x[2], chat_format.ROLES[s], "\n".join(y[1] for y in run).strip("\n")) for part, (s, run) in enumerate(runs)]
+            at += len(lines)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for block in (1, 7, 512):
+    for block in (1, 2, 512):
         got = [tuple(x)[:6] for x in chat_format.chat_format(df, block).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
 
@@ -250,6 +285,55 @@ def test_toxicity_does_not_depend_on_hash_seeds():
     assert out[0] == out[1] and "^idiot" in out[0]
 
 
+def test_language_filters_equal_plain_sets(spark):
+    """Bit-sliced filters against a set of slots for each language, counts and corrected decisions included."""
+    texts = {"en": ["the house of the town", "the road to the town"], "de": ["das haus in der stadt", "die strasse in der stadt"], "xx": ["zq zq zq"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([(x, t) for x, ts in texts.items() for t in ts * 30])]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), slots=1 << 12)
+    assert set(model.languages) == set(texts) and model.masks.shape == (1, 1 << 12)
+    slots = {x: {p for p in range(1 << 12) if int(model.masks[0, p]) >> i & 1} for i, x in enumerate(model.languages)}
+    grams = lambda t: {f" {t} ".encode()[k : k + 5] for k in range(len(t) + 2 - 4)}
+
+    def places(g):
+        h = int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 % (1 << 64)
+        return [h >> 52, h * 0xC2B2AE3D27D4EB51 % (1 << 64) >> 52]
+
+    for x, ts in texts.items():
+        # what only this language's texts hold is in its filter
+        assert all(set(places(g)) <= slots[x] for t in ts for g in grams(t) if not any(g in grams(o) for y, os_ in texts.items() if y != x for o in os_))
+    for t in ("the town house", "in der strasse", "zq zq", "the das zq road", "qqqqqqqq"):
+        found = [sum(all(p in slots[x] for p in places(g)) for g in grams(t)) for x in model.languages]
+        got, n = language_id.counts(t.encode(), model)
+        assert got.tolist() == found and n == len(grams(t))
+        rates = [(len(slots[x]) / (1 << 12)) ** 2 for x in model.languages]
+        true = [max(0.0, (c - n * p) / (1 - p)) for c, p in zip(found, rates, strict=True)]
+        lang, score = language_id.identify(t, model)
+        assert lang == model.languages[true.index(max(true))] and abs(score - (max(true) / sum(true) if sum(true) else 0)) < 1e-12
+
+
+def test_long_texts_teach_languages(spark):
+    rows = [(i, "eins zwei drei vier " * 4000, "de") for i in range(6)] + [(i + 10, "one two three four", "en") for i in range(6)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert language_id.identify("eins zwei drei", model)[0] == "de" and language_id.identify("two three", model)[0] == "en"
+
+
+def test_quality_scores_equal_plain_sizes():
+    """The difference of whole-text sizes, piece by piece, with fresh compressors, and the curve over it."""
+    good, bad = b"the quick brown fox jumps over the lazy dog. " * 40, b"BUY NOW!!! cheap pills $$$ click here. " * 40
+    model = quality_classifier.Model(good, bad, 30.0, -1.0, 0.05, 64)
+
+    def size(piece, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(piece))
+
+    for text in (b"the quick brown fox " * 9, b"click here cheap pills " * 9, b"x", "größe".encode() * 50):
+        pieces = [text[a : a + 64] for a in range(0, len(text), 64)]
+        diff = (sum(size(p, bad) - size(p, good) for p in pieces) + 256 * 0.05) / (len(text) + 256)
+        assert abs(quality_classifier.difference(text, model) - diff) < 1e-12
+        assert abs(quality_classifier.score(text, model) - 1 / (1 + np.exp(-(30 * diff - 1)))) < 1e-12
+    assert quality_classifier.score(b"the quick brown fox jumps " * 5, model) > 0.7 > quality_classifier.score(b"BUY NOW!!! cheap pills " * 5, model)
+
+
 def auc(score, y):
     order = np.argsort(np.argsort(score))
     y = np.array(y) == 1
