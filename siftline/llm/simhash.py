@@ -33,7 +33,7 @@ SEED = 42
 #: For keep_similar: words of a shingle and the similarity of sets in hundredths.
 SIMILAR_WIDTH = 5
 SIMILAR = 80
-ROUNDS = 3
+ROUNDS = 2
 #: Sets whose shingles are counted to order all by how usual they are, and slots of the counts.
 USUAL_SETS = 20_000
 SLOTS = 1 << 22
@@ -261,8 +261,12 @@ def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH,
         hubs = large.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(i))).alias("h"))
         hubs = materialize(hubs.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.root").alias("ra")), "simhash-hubs")
         pairs = large.join(hubs.hint("merge"), "key").filter((F.col("root") != F.col("ra")) & _near_size("n", "na", percent))
-        found = found.unionAll(_alike(pairs.select("a", F.col("node").alias("b")), rows, firsts, width, percent))
-        forget(held, hubs)
+        new = _alike(pairs.select("a", F.col("node").alias("b")), rows, firsts, width, percent)
+        forget(hubs)
+        if new.isEmpty():
+            continue
+        found = found.unionAll(new)
+        forget(held)
         held = current()
         release(rows.sparkSession)
     other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("rb"))
