@@ -1,14 +1,15 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is a table of segments, each a block of documents with, for every term, the ascending list of its places
-in the block's word sequence; documents in a block are parted by a gap, so no match crosses them. Lists of one document stay in
-one segment: intersecting needs no shuffle, and a term that a third of all documents hold is spread over all segments. Only
-terms of the test set are posted; no query reads others. A phrase is found from its rarest term in the segment: its
-list, less the term's offset, is intersected with the lists of the next rarer terms, less theirs, until none is left
-or all have agreed. Proximity asks for each term within a span around a place of the rarest one instead.
+The index is a stored table of segments, each a block of documents with its words in order and, for each, the ascending list of its
+places in the block's word sequence: all tokens of the corpus are posted, once. Documents in a block are parted by a gap, so no match
+crosses them. Lists of one document stay in one segment: intersecting needs no shuffle, and a term that a third of all documents hold is spread over all
+segments. A phrase is found from its rarest term in the segment: its list, less the term's offset, is intersected with the lists of
+the next rarer terms, less theirs, until none is left or all have agreed. Proximity asks for each term within a span around a
+place of the rarest one instead.
 
 The test set is cut into blocks of up to BLOCK_CHARS characters; each block is sent to all segments in turn, so nothing broadcast
-grows with the test set. Words are runs of a-z (A-Z lower-cased), digits and non-ASCII characters.
+grows with the test set, and the texts are read once however many blocks there are. Words are runs of a-z (A-Z lower-cased), digits and
+non-ASCII characters.
 
 Null and empty texts have no words; items without words match nothing; a null item_id counts as an empty name. Items that
 repeat an id or a text count by id; repeated documents each return a row; other columns are ignored.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ WINDOW = 10
 BLOCK_CHARS = 4_000_000
 SEGMENT_WORDS = 1 << 21
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SEGMENT = "segment long, doc_ids array<long>, starts array<long>, n_words array<long>, terms array<int>, ends array<int>, places array<long>"
+SEGMENT = "segment long, doc_ids array<long>, starts array<int>, n_words array<int>, terms array<binary>, ends array<int>, places array<int>"
 FOUND = "segment long, ord int, doc_id long, n_words long, lows array<long>, highs array<long>, items array<string>"
 
 
@@ -73,55 +75,54 @@ def phrases(items: list[tuple[str, bytes]], numbers: dict[bytes, int], window: i
     return Phrases(numbers, terms, np.array([len(w) for w in held], np.int64), [tuple(sorted(x)) for x in held.values()])
 
 
-def _segment(docs: list[tuple[int | None, np.ndarray, int]], gap: int) -> dict:
-    starts, places, terms, at = [], [], [], 0
-    for _, ids, n in docs:
-        starts.append(at)
-        here = np.flatnonzero(ids >= 0)
-        places.append(here + at)
-        terms.append(ids[here])
-        at += n + gap
-    term, place = np.concatenate(terms), np.concatenate(places)
-    order = np.argsort(term, kind="stable")
-    found, counts = np.unique(term, return_counts=True)
-    return {"doc_ids": [d for d, _, _ in docs], "starts": starts, "n_words": [n for _, _, n in docs], "terms": found, "ends": np.cumsum(counts), "places": place[order]}
+_FIELDS = [("doc_ids", pa.int64()), ("starts", pa.int32()), ("n_words", pa.int32()), ("terms", pa.binary()), ("ends", pa.int32()), ("places", pa.int32())]
 
 
-def _index(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int], gap: int) -> Iterator[pa.RecordBatch]:
-    get = numbers.get
-    fields = [("doc_ids", pa.int64()), ("starts", pa.int64()), ("n_words", pa.int64()), ("terms", pa.int32()), ("ends", pa.int32()), ("places", pa.int64())]
+def _segment(docs: list[tuple[int | None, np.ndarray]], numbers: dict[bytes, int], gap: int) -> pa.RecordBatch:
+    """One row: the postings of documents (doc_id, numbers of its words in order)."""
+    sizes = np.array([len(ids) for _, ids in docs])
+    starts = np.concatenate(([0], np.cumsum(sizes + gap)[:-1]))
+    term = np.concatenate([ids for _, ids in docs])
+    place = np.arange(len(term)) + np.repeat(np.arange(len(docs)) * gap, sizes)
+    order = np.argsort(term, kind="stable")
+    ends = np.cumsum(np.bincount(term, minlength=len(numbers)))
+    values = ([d for d, _ in docs], starts, sizes, list(numbers), ends, place[order])
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(t)) for v, (_, t) in zip(values, _FIELDS, strict=True)], [k for k, _ in _FIELDS])
 
-    def row(docs):
-        s = _segment(docs, gap)
-        return pa.RecordBatch.from_arrays([pa.array([s[k]], pa.list_(t)) for k, t in fields], [k for k, _ in fields])
 
-    docs, size = [], 0
+def _index(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
+    docs, numbers, size = [], {}, 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
             found = words(text.as_py() or b"")
-            docs.append((doc_id, np.fromiter((get(w, -1) for w in found), np.int32, len(found)), len(found)))
+            for w in dict.fromkeys(found):
+                numbers.setdefault(w, len(numbers))
+            docs.append((doc_id, np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))))
             size += len(found)
             if size >= SEGMENT_WORDS:
-                yield row(docs)
-                docs, size = [], 0
+                yield _segment(docs, numbers, gap)
+                docs, numbers, size = [], {}, 0
     if docs:
-        yield row(docs)
+        yield _segment(docs, numbers, gap)
 
 
-def build_index(docs: DataFrame, numbers: dict[bytes, int], gap: int = WINDOW) -> DataFrame:
-    """The table of segments over docs (doc_id, text) for the numbered terms, stored in the shared folder."""
+def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
+    """The table of segments over docs (doc_id, text), stored in the shared folder."""
     schema = SEGMENT.removeprefix("segment long, ")
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _index(it, numbers, gap), schema)
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _index(it, gap), schema)
     return materialize(made.withColumn("segment", F.monotonically_increasing_id()), "positional-index")
 
 
 class Postings:
-    """One segment's lists by term number."""
+    """One segment's lists by the block's term numbers; a word that the segment has not got has an empty list."""
 
-    def __init__(self, terms: np.ndarray, ends: np.ndarray, places: np.ndarray, n_terms: int):
+    def __init__(self, terms: pa.Array, ends: np.ndarray, places: np.ndarray, wanted: pa.Array):
         self.places = places
-        self.low, self.high = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
-        self.low[terms], self.high[terms] = np.concatenate(([0], ends[:-1])), ends
+        here = pc.index_in(wanted, value_set=terms)
+        known = pc.is_valid(here).to_numpy(zero_copy_only=False)
+        at = here.fill_null(0).to_numpy().astype(np.int64)
+        ends = np.concatenate(([0], ends)).astype(np.int64)
+        self.low, self.high = np.where(known, ends[at], 0), np.where(known, ends[np.minimum(at + 1, len(ends) - 1)], 0)
 
     def of(self, term: int) -> np.ndarray:
         return self.places[self.low[term] : self.high[term]]
@@ -156,12 +157,12 @@ class Postings:
 
 def _matches(batches: Iterator[pa.RecordBatch], block: Phrases, span: int | None) -> Iterator[pa.RecordBatch]:
     """Rows of FOUND for all documents of each segment: the places held by matches (merged) and the items."""
-    widths = block.lengths
+    widths, wanted = block.lengths, pa.array(list(block.numbers), pa.binary())
     for batch in batches:
         for s in range(batch.num_rows):
             segment, doc_ids, starts, n_words, terms, ends, places = (batch.column(i)[s] for i in range(7))
-            doc_ids, starts = doc_ids.values.to_pylist(), starts.values.to_numpy()
-            posted = Postings(*(x.values.to_numpy() for x in (terms, ends, places)), len(block.numbers))
+            doc_ids, starts = doc_ids.values.to_pylist(), starts.values.to_numpy().astype(np.int64)
+            posted = Postings(terms.values, ends.values.to_numpy(), places.values.to_numpy().astype(np.int64), wanted)
             counts = posted.counts(block.terms)
             hits, owners = [], []
             for w in np.flatnonzero(counts.min(axis=1) > 0) if len(widths) else ():
@@ -194,7 +195,7 @@ def _matches(batches: Iterator[pa.RecordBatch], block: Phrases, span: int | None
                 items.append(sorted({x for w in np.unique(owner[edges[d] : edges[d + 1]]) for x in block.items[w]}))
             n = len(starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([segment.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(doc_ids, pa.int64()), n_words.values, pa.array(lows, pa.list_(pa.int64())), pa.array(highs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                [pa.array([segment.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(doc_ids, pa.int64()), n_words.values.cast(pa.int64()), pa.array(lows, pa.list_(pa.int64())), pa.array(highs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 ["segment", "ord", "doc_id", "n_words", "lows", "highs", "items"],
             )
 
@@ -225,17 +226,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     """For each block of items a table with a row of FOUND per document: merged word spans of exact matches, and items.
 
     With `slack`, proximity matches instead: all of a window's terms within window + slack - 1 words of its rarest.
-    A block has its own index, which posts that block's terms; (segment, ord) names a document in all of them, as the
-    documents are read in the same splits each time.
+    All blocks are matched against one stored index, so (segment, ord) names a document in all of them.
     """
     out = []
     gap = window if slack is None else 2 * (window + slack)
     span = None if slack is None else window + slack - 1
+    lists = build_index(docs, gap).select("segment", "doc_ids", "starts", "n_words", "terms", "ends", "places")
     for items in item_blocks(benchmark, block_chars):
-        block = phrases(items, {}, window)
-        index = build_index(docs, block.numbers, gap)
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        lists = index.select("segment", "doc_ids", "starts", "n_words", "terms", "ends", "places")
+        sent = docs.sparkSession.sparkContext.broadcast(phrases(items, {}, window))
         out.append(lists.mapInArrow(lambda it, sent=sent: _matches(it, sent.value, span), FOUND))
     return out
 
