@@ -6,8 +6,8 @@ floor(rate) times and once more if a hash of its identity and text falls below t
 the same rows give the same mix on every run and any cluster.
 
 A null source is a source of its own, after all others; null text has no words; rows that repeat draw
-alike; an empty table or a table without words gives targets of 0 and no copies. Ranks and running sums
-are over one row per source, after the map-side sums.
+alike; an empty table or a table without words gives targets of 0 and no copies. Sources may be many: their ranks and sums are
+taken in parts.
 """
 
 from __future__ import annotations
@@ -29,30 +29,36 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with _rank, the number of each source by code point, nulls last: ranks within sorted partitions, and what partitions before hold."""
+    order = F.col("source").asc_nulls_last()
+    parts = materialize(sizes.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "mix-parts")
+    # a row a partition: as many as the session has shuffle partitions, however many sources there are
+    held = parts.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = parts.join(F.broadcast(held.select("_part", "_before")), "_part")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")
+    return ranked.withColumn("_rank", rank).drop("_part", "_before")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """sizes (source, source_size) with weight and target.
 
-    Filling by weight with an upper bound of most * source_size has one solution: sources ordered by
-    source_size / weight stop first, and all that do not stop get the same amount per unit of weight.
+    Filling by weight with an upper bound of most * source_size has one solution: an amount per unit of weight, at which the sources
+    whose bound it passes stop, and all others share what these leave. The amount is found by sums over all sources, which
+    stop more of them each time until no more do.
     """
-    everything = Window.partitionBy()
-    ranked = sizes.withColumn("_rank", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("_bound", most * F.col("source_size"))
-    total = share * F.sum("source_size").over(everything)
-    # Sources in the order in which they reach their bound; before each, what the earlier ones have taken.
-    order = everything.orderBy(F.col("_bound") / F.col("weight"), "_rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumns({
-        "_left": total - F.coalesce(F.sum("_bound").over(before), F.lit(0.0)),
-        "_weights": F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-    })
-    per_weight = F.col("_left") / F.col("_weights")
-    stops = F.col("weight") * per_weight >= F.col("_bound")
-    # The first source that does not stop fixes the amount per weight for itself and all later ones; what later
-    # rows compute is less, as their bounds have been taken off too.
-    ranked = ranked.withColumn("_open", F.max(F.when(~stops, per_weight)).over(everything)).withColumn("_stops", stops)
-    return ranked.select("source", "source_size", "weight", F.when(F.col("_stops"), F.col("_bound")).otherwise(F.col("weight") * F.col("_open")).alias("target"))
+    ranked = _ranked(sizes).withColumn("weight", weight).withColumn("_bound", most * F.col("source_size")).drop("_rank")
+    ranked = materialize(ranked, "mix-ranked")
+    total, all_weights = ranked.agg(share * F.sum("source_size"), F.sum("weight")).first()
+    amount, stopped = (total or 0.0) / (all_weights or 1.0), -1
+    while True:
+        stops = F.col("weight") * F.lit(amount) >= F.col("_bound")
+        n, bounds, left = ranked.agg(F.count_if(stops), F.sum(F.when(stops, F.col("_bound"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        if n == stopped or not left:
+            break
+        amount, stopped = (total - (bounds or 0.0)) / left, n
+    return ranked.select("source", "source_size", "weight", F.when(stops, F.col("_bound")).otherwise(F.col("weight") * F.lit(amount)).alias("target"))
 
 
 def draw(seed: str, *columns: str) -> Column:
