@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize, table
+from siftline.llm.common import forget, materialize, release, table
 
 LENGTH = 400
 GROUP = 2000
@@ -234,6 +234,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     texts = materialize(texts, "repeats-texts")
     contexts = texts.select("t1", "t2", "text", "found").mapInArrow(lambda it: _contexts(it, length), "t1 long, t2 long, key long, place long, first long, last long, c1 long, c2 long, before binary, after binary")
     contexts = materialize(contexts, "repeats-contexts")
+    release(docs.sparkSession)
     entries = contexts.groupBy("key", "c1", "c2").agg(
         F.min(place).alias("_a"), F.max(place).alias("_b"), F.min("before").alias("before"), F.min("after").alias("after")
     ).withColumn("all", F.col("_a") != F.col("_b")).drop("_a", "_b")
@@ -253,7 +254,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     found = full.unionAll(decided).unionAll(dealt)
     members = contexts.select("t1", "t2", "place", "key", "c1", "c2").join(found, ["key", "c1", "c2"])
     span = F.struct((F.col("place") - F.col("high")).alias("low"), (F.col("place") - F.col("low") + length).alias("high"))
-    spans = members.groupBy("t1", "t2").agg(F.collect_set(span).alias("spans"))
+    spans = materialize(members.groupBy("t1", "t2").agg(F.collect_set(span).alias("spans")), "repeats-spans")
+    forget(parsed, often, contexts, entries, sizes)
+    release(docs.sparkSession)
     return texts.filter("n = 1").select("t1", "t2", "text").join(spans, ["t1", "t2"])
 
 
