@@ -78,7 +78,8 @@ def measure(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_w", F.filter(F.split("_t", f"[{SPACES}]+"), lambda w: w != ""))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACES}]")))
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    df = df.withColumn("_v", F.expr(f"CASE WHEN size(_h) > {WINDOW} THEN transform(sequence(1, size(_h) - {WINDOW - 1}), i -> xxhash64(slice(_h, i, {WINDOW}))) END"))
+    window = ", ".join(f"_h[i + {k}]" for k in range(WINDOW))
+    df = df.withColumn("_v", F.expr(f"CASE WHEN size(_h) > {WINDOW} THEN transform(sequence(0, size(_h) - {WINDOW}), i -> xxhash64({window})) END"))
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     df = df.select(
         "doc_id",
