@@ -221,10 +221,11 @@ def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH,
 
     Blocks of bits cannot find a similarity of 0.8, where fingerprints differ by about 10 of 64 bits; they come first, as they join the
     closest sets cheaply. Then sets meet by their least usual shingles, which misses no pair. In keys of over `pair_limit` nodes all
-    are held against one node, in ROUNDS rounds another one; last, in every key, the pairs not yet in one component are compared.
+    are held against one node, in ROUNDS rounds another one; last, the pairs of every key that are not yet in one component are compared, if they
+have enough keys in common.
     Every link is verified by the sets themselves.
     """
-    each = made.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    each = made.select("node", "n", F.explode("keys").alias("key"))
     shared = materialize(each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "simhash-shared")
     # Most keys are one node's; where the others are few, they go to all and the keys are not shuffled.
     keys = materialize(each.join(shared, "key", "left_semi").distinct(), "simhash-keys")
@@ -246,7 +247,7 @@ def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH,
         """The keys that hold nodes of several components, with these."""
         roots = materialize(components(found, "simhash-similar"), "simhash-roots")
         held = keys.join(roots.withColumnRenamed("root", "__r").hint("merge"), keys["node"] == roots["node"], "left")
-        held = materialize(held.select("key", keys["node"], "n", "at", F.coalesce("__r", keys["node"]).alias("root")), "simhash-held")
+        held = materialize(held.select("key", keys["node"], "n", F.coalesce("__r", keys["node"]).alias("root")), "simhash-held")
         open_ = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
         open_ = materialize(open_.join(sizes, "key"), "simhash-open")
         out = materialize(held.join(open_.hint("merge"), "key"), "simhash-open-keys")
@@ -269,11 +270,13 @@ def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH,
         forget(held)
         held = current()
         release(rows.sparkSession)
-    other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("rb"))
-    # In the first key that two sets share, all that they share is there and behind.
-    enough = F.least(F.col("n").cast("long") - F.col("at"), F.col("nb").cast("long") - F.col("bt")) * (100 + percent) >= (F.col("n").cast("long") + F.col("nb")) * percent
-    pairs = held.join(other.hint("merge"), "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near_size("n", "nb", percent) & enough)
-    found = found.unionAll(_alike(pairs.select(F.col("node").alias("a"), "b"), rows, firsts, width, percent))
+    other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = held.join(other.hint("merge"), "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near_size("n", "nb", percent))
+    met = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+    # What two sets share besides their common keys lies behind the keys of the one whose keys end first.
+    behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    enough = (F.col("k") + F.greatest(behind("na"), behind("nb"))) * (100 + percent) >= (F.col("na").cast("long") + F.col("nb")) * percent
+    found = found.unionAll(_alike(met.filter(enough).select("a", "b"), rows, firsts, width, percent))
     forget(held, keys, sizes, firsts)
     return components(found, "simhash-similar")
 
