@@ -20,6 +20,11 @@ strings never cross texts. The method:
 Suffix arrays are built a key at a time: one array over the corpus is not needed, as only strings with equal keys can be equal.
 Texts that occur more than once are wholly repeated (if they have LENGTH bytes) and are parsed as one.
 
+Passages of over PASSAGE words can have fewer bytes than LENGTH, so they are told besides, by the same kind of parse over words: of the
+hashes of GRAM_WORDS words in a row the least of 16 neighbours triggers, so texts that share PASSAGE + 1 words share a trigger. Texts that
+share one are held against each other by all their strings of PASSAGE + 1 words (128-bit hashes); n_shared_words counts the words in
+those that another row has too. Nothing is removed for it.
+
 Null and empty texts have no bytes; repeated rows count as other places; rows are told apart by their text alone, so null or
 repeated doc_ids do no harm; other columns are ignored.
 """
@@ -36,13 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import forget, materialize, release, table
+from siftline.llm.common import SPACES, forget, materialize, release, table
 
 LENGTH = 400
 GROUP = 2000
 GRAM = 8
+PASSAGE = 50
+GRAM_WORDS = 35
+_NEIGHBOURS = 16  # PASSAGE + 1 words hold as many strings of GRAM_WORDS, and one more
 _CHUNK = 1 << 20
 _PAIRS = 24
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 def span_of(length: int) -> int:
@@ -75,19 +84,55 @@ def triggers(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sums(words: list[bytes], width: int, base: int) -> np.ndarray:
+    """Mixed 64-bit hashes of each `width` words in a row: sums of hash times a power of the base, modulo 2 ** 64."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(np.full(len(h), base, np.uint64)))))
+    out = (sums[width:] - sums[:n]) * np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def word_triggers(words: list[bytes]) -> np.ndarray:
+    """Hashes of the trigger strings, each once."""
+    low, step = _sums(words, GRAM_WORDS, _BASE), 1
+    while step < _NEIGHBOURS and len(low) > step:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    return np.unique(low).view(np.int64)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t1, t2, text) to (t1, t2, at, w1, w2): the hashes of each PASSAGE + 1 words in a row."""
+    for batch in batches:
+        for t1, t2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            words = text.as_py().split()
+            one, two = (_sums(words, PASSAGE + 1, base).view(np.int64) for base in (_BASE, _OTHER))
+            if len(one):
+                cols = np.full(len(one), t1), np.full(len(one), t2), np.arange(len(one), dtype=np.int32), one, two
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t1", "t2", "at", "w1", "w2"])
+
+
 def _keys(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     digest, key = xxhash.xxh3_64_intdigest, length - span_of(length) + 1
     for batch in batches:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
+        n_words = []
         for t in batch.column(2).cast(pa.binary()):
             text = t.as_py() or b""
+            words = text.split()
+            n_words.append(len(words))
+            rows[4].append(word_triggers(words))
             view = memoryview(text)
             place, first, last = triggers(text, length)
             found = np.array([digest(view[a : a + key]) for a in place.tolist()], np.uint64).view(np.int64)
-            for row, x in zip(rows, (found, place, first, last), strict=True):
+            for row, x in zip(rows[:4], (found, place, first, last), strict=True):
                 row.append(x)
         arrays = [pa.array(r, pa.list_(pa.int64())) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["t1", "t2", "key", "place", "first", "last"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, pa.array(n_words, pa.int64())], ["t1", "t2", "key", "place", "first", "last", "grams", "n_words"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -215,12 +260,15 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def parse(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The parse of each row, stored: (t1, t2), arrays key, place, first, last of its triggers, grams, its trigger strings of words, n_words."""
+    schema = "t1 long, t2 long, key array<long>, place array<long>, first array<long>, last array<long>, grams array<long>, n_words long"
+    return materialize(_identified(docs).select("t1", "t2", "text").mapInArrow(lambda it: _keys(it, length), schema), "repeats-parse")
+
+
+def repeats(docs: DataFrame, parsed: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(t1, t2, text, spans): each text that occurs once and holds repeated bytes, with spans (low, high) that cover them."""
     named = _identified(docs)
-    whole = named.filter(F.octet_length("text") >= length)
-    parsed = whole.select("t1", "t2", "text").mapInArrow(lambda it: _keys(it, length), "t1 long, t2 long, key array<long>, place array<long>, first array<long>, last array<long>")
-    parsed = materialize(parsed, "repeats-parse")
     each = parsed.select("t1", "t2", F.explode(F.arrays_zip("key", "place", "first", "last")).alias("f")).select("t1", "t2", "f.*")
     # Keys at two places or more; copies of a text are one place.
     place = F.xxhash64("t1", "t2", "place")
@@ -255,26 +303,56 @@ def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     members = contexts.select("t1", "t2", "place", "key", "c1", "c2").join(found, ["key", "c1", "c2"])
     span = F.struct((F.col("place") - F.col("high")).alias("low"), (F.col("place") - F.col("low") + length).alias("high"))
     spans = materialize(members.groupBy("t1", "t2").agg(F.collect_set(span).alias("spans")), "repeats-spans")
-    forget(parsed, often, contexts, entries, sizes)
+    forget(often, contexts, entries, sizes)
     release(docs.sparkSession)
     return texts.filter("n = 1").select("t1", "t2", "text").join(spans, ["t1", "t2"])
 
 
+def shared_passages(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(t1, t2, n_shared_words) of texts that share PASSAGE + 1 words in a row with another row."""
+    each = parsed.select("t1", "t2", F.explode("grams").alias("g"))
+    often = materialize(each.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "repeats-grams")
+    wanted = materialize(each.join(often.hint("merge"), "g", "left_semi").select("t1", "t2").distinct(), "repeats-candidates")
+    copies = materialize(parsed.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.max("n_words").alias("n_words")).filter("n > 1"), "repeats-copies")
+    # One row of each candidate text; rows that tie are equal and count once below.
+    named = _identified(docs)
+    first = named.select("t1", "t2", "doc_id").join(wanted, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.min("doc_id").alias("_first"))
+    texts = named.join(materialize(first, "repeats-firsts").hint("merge"), ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("_first"))).select("t1", "t2", "text")
+    windows = materialize(texts.mapInArrow(_windows, "t1 long, t2 long, at int, w1 long, w2 long"), "repeats-windows")
+    release(docs.sparkSession)
+    name = F.xxhash64("t1", "t2")
+    twice = windows.groupBy("w1", "w2").agg(F.min(name).alias("a"), F.max(name).alias("b")).filter("a <> b").select("w1", "w2")
+    twice = materialize(twice, "repeats-twice")
+    held = windows.join(twice.hint("merge"), ["w1", "w2"], "left_semi").groupBy("t1", "t2").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    covered = F.expr(f"aggregate(transform(at, (p, j) -> least({PASSAGE + 1}, coalesce(get(at, j + 1) - p, {PASSAGE + 1}))), 0L, (a, b) -> a + b)")
+    single = held.join(copies.select("t1", "t2"), ["t1", "t2"], "left_anti").select("t1", "t2", covered.alias("n_shared_words"))
+    found = materialize(single.unionAll(copies.filter(F.col("n_words") > PASSAGE).select("t1", "t2", "n_words")), "repeats-shared")
+    forget(often, wanted, copies, windows, twice)
+    release(docs.sparkSession)
+    return found
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    cut = repeats(docs, length, group).mapInArrow(_cut, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
+    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words."""
+    parsed = parse(docs, length)
+    cut = repeats(docs, parsed, length, group).mapInArrow(_cut, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
+    cut = materialize(cut, "repeats-cut")
+    release(docs.sparkSession)
+    shared_ = shared_passages(docs, parsed)
+    forget(parsed)
     rows = _identified(docs).select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha"))
     rows = materialize(rows, "repeats-rows")
     copies = rows.filter(F.col("n_bytes") >= length).groupBy("t1", "t2").agg(F.count("*").alias("n")).filter("n > 1")
     # A text has either one row and perhaps spans, or several rows: one small table by name.
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     told = cut.select("t1", "t2", "n_removed", "n_spans", "kept_sha256").unionAll(copies.select("t1", "t2", F.lit(-1).cast("long"), F.lit(1).cast("long"), nothing))
-    out = rows.join(told, ["t1", "t2"], "left")
+    out = rows.join(told, ["t1", "t2"], "left").join(shared_, ["t1", "t2"], "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
+        F.coalesce("n_shared_words", F.lit(0).cast("long")).alias("n_shared_words"),
     )
 
 
@@ -283,7 +361,11 @@ def op2_repeats(spark, sf_dir):
 
 
 SQL = {"op2_repeats": rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, list_filter(regexp_split_to_array(coalesce(text, ''), '[{SPACES}]+'), lambda x: x <> '') AS ws FROM documents),
+pw AS (SELECT r, unnest(list_transform(range(0, len(ws) - {PASSAGE}), lambda i: {{'i': i, 'h': md5(array_to_string(ws[i + 1:i + {PASSAGE + 1}], ' '))}})) AS x FROM d WHERE len(ws) > {PASSAGE}),
+ps AS (SELECT r, x.i AS i FROM pw WHERE x.h IN (SELECT x.h FROM pw GROUP BY 1 HAVING count(DISTINCT r) > 1)),
+pn AS (SELECT DISTINCT r, i FROM ps), pg AS (SELECT r, least({PASSAGE + 1}, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, {PASSAGE + 1})) AS k FROM pn),
+pc AS (SELECT r, sum(k) AS n_shared_words FROM pg GROUP BY r),
 n AS (SELECT r, doc_id, b, octet_length(b) AS n FROM d),
 w AS (SELECT r, unnest(list_transform(range(0, n - {LENGTH} + 1), lambda i: {{'i': i, 'h': md5(b[i + 1:i + {LENGTH}])}})) AS x FROM n WHERE n >= {LENGTH}),
 g AS (SELECT x.h AS h FROM w GROUP BY 1 HAVING count(*) > 1),
@@ -293,5 +375,6 @@ k AS (SELECT r, i, sum(cut) OVER (PARTITION BY r ORDER BY i) AS k FROM c),
 t AS (SELECT r, k, min(i) AS low, max(i) + {LENGTH} AS high FROM k GROUP BY r, k),
 u AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS prev FROM t),
 a AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS top, string_agg(hex(b[prev + 1:low]), '' ORDER BY low) AS kept FROM u JOIN n USING (r) GROUP BY r)
-SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(top, 0) + 1:n]))) AS kept_sha256 FROM n LEFT JOIN a USING (r)"""}
+SELECT n.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(top, 0) + 1:n]))) AS kept_sha256,
+       coalesce(n_shared_words, 0)::BIGINT AS n_shared_words FROM n LEFT JOIN a USING (r) LEFT JOIN pc USING (r)"""}

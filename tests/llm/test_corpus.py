@@ -122,7 +122,37 @@ def removed(rows, length):
 
 
 def test_repeats(spark, docs):
-    assert {r[0]: tuple(r)[1:] for r in QUERIES["op2_repeats"](spark, DATA).collect()} == removed(docs, 400)
+    assert {r[0]: tuple(r)[1:5] for r in QUERIES["op2_repeats"](spark, DATA).collect()} == removed(docs, 400)
+
+
+def shared_words(rows):
+    """Words in strings of 51 words that another row has too."""
+    held = {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for k in range(len(w) - 50):
+            held.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    out = {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        out[i] = len({j for k in range(len(w) - 50) if len(held[tuple(w[k : k + 51])]) > 1 for j in range(k, k + 51)})
+    return out
+
+
+def test_passages_of_short_words(spark):
+    """Passages of 49 to 120 words, well under 400 bytes, in other surroundings, at the ends, twice in one text, and in copies."""
+    r = random.Random(9)
+    vocabulary = [f"{x}{y}" for x in "abcdefgh" for y in "ijklmnop"]
+    some = lambda n: r.choices(vocabulary, k=n)
+    rows = []
+    for n in (49, 50, 51, 52, 60, 120):
+        p = some(n)
+        rows += [" ".join(some(r.randint(0, 80)) + p + some(r.randint(0, 80))) for _ in range(3)]
+    once = some(70)
+    rows += [" ".join(once + some(5) + once), " ".join(some(200)), "copy " * 60, "copy " * 60, "short", "short", "", None, "\n".join(once[:51]) + "\t x"]
+    rows = list(enumerate(rows))
+    got = {x["doc_id"]: x["n_shared_words"] for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == shared_words(rows) and sum(v > 0 for v in got.values()) >= 15
 
 
 @pytest.mark.parametrize("group", [2000, 3])
@@ -131,7 +161,7 @@ def test_repeats_of_low_entropy(spark, group):
     base = ["".join(r.choice("ab c") for _ in range(60)) for _ in range(6)]
     rows = [(i, "".join(r.choice(base)[r.randint(0, 20) :] if r.random() < 0.4 else "".join(r.choice("abcdefghé") for _ in range(30)) for _ in range(r.randint(0, 14)))) for i in range(80)]
     rows += [(500, None), (501, ""), (502, "a" * 300), (503, "b" * 39), (504, "b" * 40)]
-    got = {x[0]: tuple(x)[1:] for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, group).collect()}
+    got = {x[0]: tuple(x)[1:5] for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, group).collect()}
     assert got == removed(rows, 40)
 
 
