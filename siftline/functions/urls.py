@@ -9,13 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track: fixed names, and names that start so.
-NOISE = r"^(utm_[a-z]+|gclid|fbclid|msclkid|mc_[ce]id|ref|referrer|source|session(id)?|sid|phpsessid|print|share)$"
-ASSETS = r"(?i)\.(jpe?g|png|gif|svg|webp|ico|bmp|tiff?|pdf|docx?|xlsx?|pptx?|zip|gz|rar|7z|mp[34]|avi|mov|css|js|json|xml|woff2?|ttf|exe|dmg)$"
-DENIED = r"(?i)/(wp-admin|wp-json|login|logout|signin|signup|register|cart|checkout|basket|account|feed|calendar|cdn-cgi)(/|$)"
-CONTACT = r"(?i)(^|/)(contact([-_]?us)?|kontakt|contacto|about([-_]?us)?|team|staff|people|imprint|impressum|enquir(y|ies)|get-in-touch)([-_./]|$)"
-KEYWORD = r"(?i)(team|staff|people|about|office|branch|location|service|practice|our-)"
-LISTING = r"(?i)^(blog|news|tag|category|archive|products?|shop|events?|posts?|page|author)$"
+def _any(*kinds: str) -> str:
+    return "|".join("|".join(k.split()) for k in kinds)
+
+
+#: Query parameters that only track: names of campaigns and clicks, of who sent the visitor, and of the visit.
+NOISE = f"^({_any('utm_[a-z]+ gclid fbclid msclkid mc_[ce]id', 'ref referrer source', 'session(id)? sid phpsessid', 'print share')})$"
+_IMAGES, _PAPERS, _PACKED = "jpe?g png gif svg webp ico bmp tiff?", "pdf docx? xlsx? pptx?", "zip gz rar 7z dmg exe"
+_PLAYED, _PARTS = "mp[34] avi mov", "css js json xml woff2? ttf"
+ASSETS = rf"(?i)\.({_any(_IMAGES, _PAPERS, _PACKED, _PLAYED, _PARTS)})$"
+_SHOP, _ACCOUNT, _MACHINE = "cart checkout basket", "login logout signin signup register account", "wp-admin wp-json feed calendar cdn-cgi"
+DENIED = f"(?i)/({_any(_SHOP, _ACCOUNT, _MACHINE)})(/|$)"
+_REACH, _WHO, _LEGAL = "contact([-_]?us)? kontakt contacto enquir(y|ies) get-in-touch", "about([-_]?us)? team staff people", "imprint impressum"
+CONTACT = f"(?i)(^|/)({_any(_REACH, _WHO, _LEGAL)})([-_./]|$)"
+_PLACES, _OFFERS = "office branch location", "service practice our-"
+KEYWORD = f"(?i)({_any(_PLACES, _OFFERS, 'team staff people about')})"
+_DATED, _SOLD, _SORTED = "blog news posts? events?", "products? shop", "tag category archive page author"
+LISTING = f"(?i)^({_any(_DATED, _SOLD, _SORTED)})$"
 HOME = r"(?i)^/?((index|default|home)(\.[a-z]+)?)?/?$"
 
 

@@ -9,9 +9,9 @@ from siftline.functions import urls as U
 from siftline.sources.shared import stored
 
 
-def reach(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+def reach(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
     """links (site, src, dst), seeds (site, key): each key reached within a site with its least depth. Every level is an
-    anti join against all seen; the loop is bounded by max_depth and ends early."""
+    anti join against all seen; the loop is bounded by max_depth and ends early. With max_pages, a site's first ones by depth and key."""
     seen = level = stored(seeds.select("site", "key").distinct().withColumn("depth", F.lit(0)), "frontier")
     for depth in range(1, max_depth + 1):
         to = level.join(links, (level["site"] == links["site"]) & (level["key"] == links["src"])).select(level["site"], F.col("dst").alias("key")).distinct()
@@ -19,7 +19,9 @@ def reach(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    return seen
+    if max_pages is None:
+        return seen
+    return best(seen, F.col("depth"), max_pages).select("site", "key", "depth")
 
 
 def best(frontier: DataFrame, priority: Column, most: int) -> DataFrame:

@@ -241,7 +241,7 @@ def business(root: Node, host: str) -> str:
         if name := N.business_name(metas.get(key)):
             return name
     parts = [p for p in N.SEPARATOR.split(first_text(root, "title") or "") if p and not N.GENERIC_TITLE.match(p)]
-    key = N.fold(re.sub(r"^www\.", "", host).split(".")[0])
+    key = N.base_key(host)
     for p in parts:
         if len(key) >= 4 and (key in N.fold(p) or (len(N.fold(p)) >= 4 and N.fold(p) in key)) and (name := N.business_name(p)):
             return name

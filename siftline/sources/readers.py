@@ -160,7 +160,7 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).filter("word <> ''").distinct()
+    return spark.read.text(path).select(F.lower(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("word")).filter("word <> ''").distinct()
 
 
 def output_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from siftline.plans.queries import QUERIES, SQL
+from siftline.plans.files import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
