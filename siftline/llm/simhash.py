@@ -193,14 +193,15 @@ def _usual(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return slot[order], k[order]
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, percent: int, many: bool = False) -> DataFrame:
     """Of pairs (a, b) of nodes those whose shingle sets are similar: |both| / |either| >= percent / 100, in whole numbers.
 
-    Only the pairs' own texts are read, from the first row of each node, and only their sets are stored."""
+    Only the pairs' own texts are read, from the first row of each node, and only their sets are stored. many: the texts are shuffled at
+    any size, else where the pairs' rows are not few enough to go to all."""
     pairs = materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
     nodes = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "simhash-paired")
     wanted = materialize(firsts.select("node", "__row").join(nodes, "node"), "simhash-wanted")
-    sets = rows.select("__row", "text").join(wanted, "__row").select("node", "text")
+    sets = rows.select("__row", "text").join(wanted.hint("merge") if many else wanted, "__row").select("node", "text")
     sets = materialize(sets.mapInArrow(lambda it: _sets(it, width), "node long, shingles array<long>"), "simhash-sets")
     release(rows.sparkSession)
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
@@ -225,7 +226,7 @@ def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH,
 have enough keys in common.
     Every link is verified by the sets themselves.
     """
-    each = made.select("node", "n", F.explode("keys").alias("key"))
+    each = made.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = materialize(each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "simhash-shared")
     # Most keys are one node's; where the others are few, they go to all and the keys are not shuffled.
     keys = materialize(each.join(shared, "key", "left_semi").distinct(), "simhash-keys")
@@ -247,7 +248,7 @@ have enough keys in common.
         """The keys that hold nodes of several components, with these."""
         roots = materialize(components(found, "simhash-similar"), "simhash-roots")
         held = keys.join(roots.withColumnRenamed("root", "__r").hint("merge"), keys["node"] == roots["node"], "left")
-        held = materialize(held.select("key", keys["node"], "n", F.coalesce("__r", keys["node"]).alias("root")), "simhash-held")
+        held = materialize(held.select("key", keys["node"], "n", "at", F.coalesce("__r", keys["node"]).alias("root")), "simhash-held")
         open_ = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
         open_ = materialize(open_.join(sizes, "key"), "simhash-open")
         out = materialize(held.join(open_.hint("merge"), "key"), "simhash-open-keys")
@@ -270,13 +271,16 @@ have enough keys in common.
         forget(held)
         held = current()
         release(rows.sparkSession)
-    other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = held.join(other.hint("merge"), "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near_size("n", "nb", percent))
+    other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("rb"))
+    # Of what two sets share no more lies before a common key than either has there, and no more from it on.
+    most = F.least("at", "bt").cast("long") + F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("bt"))
+    able = most * (100 + percent) >= (F.col("n").cast("long") + F.col("nb")) * percent
+    met = held.join(other.hint("merge"), "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near_size("n", "nb", percent) & able)
     met = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("na"), F.first("nb").alias("nb"))
     # What two sets share besides their common keys lies behind the keys of the one whose keys end first.
     behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     enough = (F.col("k") + F.greatest(behind("na"), behind("nb"))) * (100 + percent) >= (F.col("na").cast("long") + F.col("nb")) * percent
-    found = found.unionAll(_alike(met.filter(enough).select("a", "b"), rows, firsts, width, percent))
+    found = found.unionAll(_alike(met.filter(enough).select("a", "b"), rows, firsts, width, percent, many=True))
     forget(held, keys, sizes, firsts)
     return components(found, "simhash-similar")
 
@@ -305,7 +309,7 @@ def _first_rows(rows: DataFrame, rooted: DataFrame) -> DataFrame:
     many = several.filter("tied").join(groups.filter("n > 1").select("root").hint("merge"), "root").select("__row", "root")
     texts = rows.select("__row", F.coalesce("text", F.lit("")).alias("text")).join(many, "__row")
     kept = groups.filter("n = 1").select("__row").unionAll(texts.groupBy("root").agg(F.min(F.struct("text", "__row")).alias("m")).select("m.__row"))
-    # What goes is less than what stays: where it is little, it goes to all and the texts are not shuffled.
+    # What goes is less than what stays; the plan is the same at any size.
     gone = materialize(several.select("__row").join(materialize(kept, "simhash-kept"), "__row", "left_anti"), "simhash-gone")
     forget(rooted, least, several, groups)
-    return rows.join(gone, "__row", "left_anti")
+    return rows.join(gone.hint("merge"), "__row", "left_anti")
