@@ -212,20 +212,20 @@ def sentence_features(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.
     return text[which], x
 
 
-def _features(texts: list[bytes], model: Model) -> np.ndarray:
-    """The largest decision of each text and log(1 + positive sentences); a sentence without kernels that count has the offset."""
-    out = np.tile([model.offset, 0.0], (len(texts), 1))
-    text, x = sentence_features(texts, model)
+def _features(text: np.ndarray, x: np.ndarray, n: int, model: Model) -> np.ndarray:
+    """The largest decision of each of n texts and log(1 + positive sentences), from the features of their sentences; a sentence without
+    kernels that count has the offset."""
+    out = np.tile([model.offset, 0.0], (n, 1))
     d = np.round(x.astype(np.float64) @ model.weights + model.offset, 6)
     np.maximum.at(out[:, 0], text, d)
-    out[:, 1] = np.log1p(np.bincount(text[d > 0], minlength=len(texts)))
+    out[:, 1] = np.log1p(np.bincount(text[d > 0], minlength=n))
     return out
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
     if not model.landmarks:
         return np.full(len(texts), model.share)
-    x = _features(texts, model)
+    x = _features(*sentence_features(texts, model), len(texts), model)
     return 1 / (1 + np.exp(-np.clip(x @ np.array(model.curve[:2]) + model.curve[2], -30, 30)))
 
 
@@ -239,13 +239,11 @@ def choose(toxic: list[bytes], other: list[bytes], most: int = LANDMARKS) -> tup
     """(landmarks, contrast of each): words or stems whose share of texts differs between the classes."""
     held = [Counter(p for t in ts for p in starts(t)) for ts in (other, toxic)]
     n0, n1 = len(other), len(toxic)
-    contrast = {}
-    for w in held[0].keys() | held[1].keys():
-        k0, k1 = held[0][w], held[1][w]
-        p = (k0 + k1) / (n0 + n1)
-        z = (k1 / n1 - k0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) if p < 1 else 0.0
-        if abs(z) >= CONTRAST and k0 + k1 >= 3:
-            contrast[w] = float(z)
+    names = [w for w in held[0].keys() | held[1].keys() if held[0][w] + held[1][w] >= 3]
+    k0, k1 = (np.array([h[w] for w in names], np.float64) for h in held)
+    p = (k0 + k1) / (n0 + n1)
+    z = (k1 / n1 - k0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
+    contrast = {w: c for w, c in zip(names, z.tolist(), strict=True) if abs(c) >= CONTRAST}
     names = sorted(contrast, key=lambda w: (-round(abs(contrast[w]), 6), -len(w), w))[:CANDIDATES]
     if not names:
         return (), np.zeros(0)
@@ -297,21 +295,22 @@ def fit(toxic: list[bytes], other: list[bytes], counts: dict[int, int]) -> Model
         return Model((), np.zeros(0), np.zeros(0), 0.0, (0.0, 0.0, 0.0), share)
     own = own_kernel(list(landmarks))
     gram = kernels(list(landmarks), list(landmarks)).astype(np.float64) / np.sqrt(np.outer(own, own))
-    values, vectors = np.linalg.eigh(gram)
-    white = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    levels, vectors = np.linalg.eigh(gram)
+    white = vectors @ np.diag(1 / np.sqrt(np.maximum(levels, 1e-3))) @ vectors.T
     model = Model(landmarks, own, np.zeros(0), 0.0, (0.0, 0.0, 0.0), share, hashlib.sha256(b"\n".join(landmarks)).hexdigest())
 
     nothing = np.zeros((1, len(landmarks)), np.float32)  # a sentence without kernels that count: every text has one at least
-    bags = []
-    for ts in (other, toxic):
-        text, x = sentence_features(ts, model)
-        edges = np.searchsorted(text, np.arange(len(ts) + 1))
-        bags.append([np.concatenate([x[i:j], nothing]) for i, j in zip(edges, edges[1:])])
+    every = other + toxic
+    parts = [(at, *sentence_features(every[at : at + 512], model)) for at in range(0, len(every), 512)]
+    text, found = np.concatenate([t + at for at, t, _ in parts]), np.concatenate([x for _, _, x in parts])
+    edges = np.searchsorted(text, np.arange(len(every) + 1))
+    each = [np.concatenate([found[i:j], nothing]) for i, j in zip(edges, edges[1:])]
+    bags = each[: len(other)], each[len(other) :]
     noisy = {}
     for k, w in enumerate(landmarks):
         x = np.zeros((4, len(landmarks)), np.float32)
-        rows, cols, found = matched([inserted(w, k + n) for n in range(4)], landmarks, own)
-        x[rows, cols] = found
+        rows, cols, values = matched([inserted(w, k + n) for n in range(4)], landmarks, own)
+        x[rows, cols] = values
         noisy[k] = x
     weights, offset = contrast / np.abs(contrast).max(), -0.5
     for _ in range(4):
@@ -328,7 +327,7 @@ def fit(toxic: list[bytes], other: list[bytes], counts: dict[int, int]) -> Model
     model = replace(model, weights=weights.astype(np.float32), offset=offset)
     y = np.repeat([0.0, 1.0], [len(other), len(toxic)])
     weight = np.where(y == 1, counts[1] / len(toxic), counts[0] / len(other)) * len(y) / total
-    curve = logistic(_features(other + toxic, model), y, weight, ridge=1e-2)
+    curve = logistic(_features(text, found, len(y), model), y, weight, ridge=1e-2)
     return replace(model, curve=tuple(map(float, curve)))
 
 
