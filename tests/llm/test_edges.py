@@ -49,6 +49,32 @@ def test_edges(spark, folders, name):
     assert QUERIES[name](spark, folders["empty"]).count() == 0
 
 
+def test_edge_values(spark, folders):
+    """Defined results of the queries without SQL for nulls, empty texts, texts without letters or words, and repeated rows."""
+    rows = {name: QUERIES[name](spark, folders["full"]).collect() for name in ("op3_language_id", "op6_toxicity", "op8_quality_classifier", "op9_simhash")}
+    texts = {}
+    for i, t, *_ in ROWS:
+        texts.setdefault(i, []).append(t)
+    wordless = {2, 3, 6}  # null, empty, white space; the null doc_id has a null text and another one
+    for r in rows["op3_language_id"]:
+        if r["doc_id"] in wordless | {9}:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        assert 0 <= r["score"] <= 1 and r["held_out"] in (True, False, None)
+    assert sorted(r["lang_pred"] for r in rows["op3_language_id"] if r["doc_id"] is None)[-1] == "und"
+    for name, least in (("op6_toxicity", 0.5), ("op8_quality_classifier", 0.7)):
+        scores = {}
+        for r in rows[name]:
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least)
+            scores.setdefault(r["doc_id"], []).append(r["score"])
+        assert scores[1][0] == scores[1][1] and scores[2] == scores[3]
+        assert scores[2][0] in scores[None]  # a null text without an id as one with
+    prints = {}
+    for r in rows["op9_simhash"]:
+        prints.setdefault(r["doc_id"], []).append((r["fingerprint"], r["component_id"]))
+    assert all(prints[i] == [("0" * 16, 2)] for i in wordless) and ("0" * 16, 2) in prints[None]
+    assert prints[1][0] == prints[1][1] and prints[1][0][1] == 1 and prints[4] == [(prints[5][0][0], 4)] and prints[5][0][1] == 4
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_edges_by_sql(spark, folders, name):
     con = duckdb.connect()
