@@ -3,7 +3,8 @@
 The index is a stored table of segments, each a block of documents with its words in order and, for each, the ascending list of its
 places in the block's word sequence: all tokens of the corpus are posted, once. Documents in a block are parted by a gap, so no match
 crosses them. Lists of one document stay in one segment: intersecting needs no shuffle, and a term that a third of all documents hold is spread over all
-segments. A phrase is found from its rarest term in the segment: its list, less the term's offset, is intersected with the lists of
+segments. A segment is one row of some megabytes, so the table's row groups are measured at every row: a task holds few segments,
+however many it writes or reads. A phrase is found from its rarest term in the segment: its list, less the term's offset, is intersected with the lists of
 the next rarer terms, less theirs, until none is left or all have agreed. Proximity asks for each term within a span around a
 place of the rarest one instead.
 
@@ -27,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize, numbered, table
+from siftline.llm.common import LARGE_ROWS, materialize, numbered, table
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
-SEGMENT_WORDS = 1 << 21
+SEGMENT_WORDS = 1 << 19
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEGMENT = "segment long, doc_ids array<long>, starts array<int>, n_words array<int>, terms array<binary>, ends array<int>, places array<int>"
 FOUND = "segment long, ord int, doc_id long, n_words long, lows array<long>, highs array<long>, items array<string>"
@@ -110,7 +111,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
     """The table of segments over docs (doc_id, text), stored in the shared folder."""
     schema = SEGMENT.removeprefix("segment long, ")
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _index(it, gap), schema)
-    return materialize(made.withColumn("segment", F.monotonically_increasing_id()), "positional-index")
+    return materialize(made.withColumn("segment", F.monotonically_increasing_id()), "positional-index", **LARGE_ROWS)
 
 
 class Postings:
