@@ -216,14 +216,20 @@ def _near_size(a: str, b: str, percent: int):
     return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
 
+def _able(n: str, at: str, m: str, bt: str, percent: int):
+    """Whether sets of n and m, with a common key at places `at` and `bt`, can be similar if it is their first: then all they share lies
+    from it on in both. Similar sets have their first common shingle among the keys of both, so they pass there, if at no later key."""
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(bt)).cast("long") * (100 + percent) >= (F.col(n).cast("long") + F.col(m)) * percent
+
+
 def similar_roots(rows: DataFrame, made: DataFrame, width: int = SIMILAR_WIDTH, percent: int = SIMILAR, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """rows (__row, text) and made (__row, node, fp, n, keys) to (node, root): components of all pairs as similar as `percent`,
     for nodes that share a key with another one.
 
     Blocks of bits cannot find a similarity of 0.8, where fingerprints differ by about 10 of 64 bits; they come first, as they join the
     closest sets cheaply. Then sets meet by their least usual shingles, which misses no pair. In keys of over `pair_limit` nodes all
-    are held against one node, in ROUNDS rounds another one; last, the pairs of every key that are not yet in one component are compared, if they
-have enough keys in common.
+    are held against one node, in ROUNDS rounds another one; last, the pairs of every key that are not yet in one component are compared, if it
+    can be their first common one and they have enough keys in common.
     Every link is verified by the sets themselves.
     """
     each = made.select("node", "n", F.posexplode("keys").alias("at", "key"))
@@ -260,9 +266,11 @@ have enough keys in common.
         large = held.filter(F.col("k") > pair_limit)
         if large.isEmpty():
             break
-        hubs = large.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(i))).alias("h"))
-        hubs = materialize(hubs.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.root").alias("ra")), "simhash-hubs")
-        pairs = large.join(hubs.hint("merge"), "key").filter((F.col("root") != F.col("ra")) & _near_size("n", "na", percent))
+        # First the set with the least before the key: what a group was made from, or the nearest to it. Then any one.
+        by = F.struct("at", "node") if i == 0 else F.struct(F.xxhash64("node", F.lit(i)), "at")
+        hubs = large.groupBy("key").agg(F.min_by(F.struct("node", "n", "at", "root"), by).alias("h"))
+        hubs = materialize(hubs.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.at").alias("aa"), F.col("h.root").alias("ra")), "simhash-hubs")
+        pairs = large.join(hubs.hint("merge"), "key").filter((F.col("root") != F.col("ra")) & _near_size("n", "na", percent) & _able("n", "at", "na", "aa", percent))
         new = _alike(pairs.select("a", F.col("node").alias("b")), rows, firsts, width, percent)
         forget(hubs)
         if new.isEmpty():
@@ -272,16 +280,19 @@ have enough keys in common.
         held = current()
         release(rows.sparkSession)
     other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("rb"))
-    # Of what two sets share no more lies before a common key than either has there, and no more from it on.
-    most = F.least("at", "bt").cast("long") + F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("bt"))
-    able = most * (100 + percent) >= (F.col("n").cast("long") + F.col("nb")) * percent
+    able = _able("n", "at", "nb", "bt", percent)
     met = held.join(other.hint("merge"), "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near_size("n", "nb", percent) & able)
-    met = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+    met = materialize(met.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), F.col("nb")).distinct(), "simhash-met")
+    # All keys that two of them have in common are open, as they hold both components.
+    ends = materialize(met.select(F.col("a").alias("node")).unionAll(met.select("b")).distinct(), "simhash-ends")
+    own = materialize(held.select("node", "key").join(ends.hint("merge"), "node").groupBy("node").agg(F.collect_set("key").alias("own")), "simhash-own-keys")
+    one, two = (own.select(F.col("node").alias(c), F.col("own").alias(f"k{c}")) for c in "ab")
+    met = met.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("k", F.size(F.array_intersect("ka", "kb")))
     # What two sets share besides their common keys lies behind the keys of the one whose keys end first.
     behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     enough = (F.col("k") + F.greatest(behind("na"), behind("nb"))) * (100 + percent) >= (F.col("na").cast("long") + F.col("nb")) * percent
     found = found.unionAll(_alike(met.filter(enough).select("a", "b"), rows, firsts, width, percent, many=True))
-    forget(held, keys, sizes, firsts)
+    forget(held, keys, sizes, firsts, ends, own)
     return components(found, "simhash-similar")
 
 
